@@ -1,8 +1,8 @@
 """Cutting long ordered histories into blocks of bounded size.
 
 A series that holds a third of all rows must not end up in one task. ``with_blocks`` numbers
-consecutive blocks of about ``target`` rows per key in order of time, from a histogram of at most
-``cells`` cells per key, so that no single task ever sees a whole key.
+consecutive blocks of about ``target`` rows per key in order of time, from a histogram of
+``FINE`` cells a block and at most ``CELLS`` cells a key, so that no single task ever sees a whole key.
 """
 
 from __future__ import annotations
@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 from vintagraph.session import cut, small
 
 
-def with_blocks(history: DataFrame, key: str, t: str, target: int, cells: int = 65536, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+#: Histogram cells a block, and at most a key.
+FINE, CELLS = 4, 65536
+
+
+def with_blocks(history: DataFrame, key: str, t: str, target: int, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Add ``block`` (bigint, ascending in ``t`` within ``key``) to ``history`` and to ``probes``.
 
     ``t`` is a bigint. Rows with a null key or ``t`` are dropped from ``history``. Probes of unknown keys and
     probes before a key's first row get a null block. A block holds about ``target`` rows plus at most one
-    histogram cell, i.e. what falls into 1/``cells`` of the key's time span.
+    histogram cell.
     """
     h = history.where(F.col(key).isNotNull() & F.col(t).isNotNull())
-    bounds = h.groupBy(key).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    bounds = bounds.withColumn("_w", F.greatest(F.lit(1).cast("bigint"), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(float(cells))).cast("bigint")))
+    bounds = h.groupBy(key).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    cells = F.least(F.lit(float(CELLS)), F.greatest(F.lit(1.0), F.col("_n") * FINE / target))
+    bounds = bounds.withColumn("_w", F.greatest(F.lit(1).cast("bigint"), F.ceil((F.col("_hi") - F.col("_lo") + 1) / cells).cast("bigint"))).drop("_n")
     bounds = small(cut(bounds))
     cell = F.floor((F.least(F.col(t), F.col("_hi")) - F.col("_lo")) / F.col("_w")).cast("bigint")
 
@@ -33,7 +38,7 @@ def with_blocks(history: DataFrame, key: str, t: str, target: int, cells: int =
         pc = probes.join(bounds, key, "left").withColumn("_cell", F.when(F.col(t) >= F.col("_lo"), cell)).drop("_lo", "_hi", "_w")
         empty = pc.where(F.col("_cell").isNotNull()).groupBy(key, "_cell").agg(F.lit(0).cast("bigint").alias("_n"))
         hist = hist.unionByName(empty).groupBy(key, "_cell").agg(F.sum("_n").alias("_n"))
-    # at most `cells` + 1 rows a key reach this window, however many rows the key has
+    # at most CELLS rows a key reach this window, however many rows the key has
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = hist.select(key, "_cell", F.floor(F.greatest(before - 1, F.lit(0)) / F.lit(target)).cast("bigint").alias("block"))
     out = hc.join(blocks, [key, "_cell"]).drop("_cell")

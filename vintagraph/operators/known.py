@@ -13,13 +13,11 @@ and nothing is dropped, however late versions arrive.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagraph.operators.blocks import with_blocks
-from vintagraph.session import cut
+from vintagraph.session import cut, small
 
 #: Versions a block, and children a node of the summary tree.
 BLOCK, FANOUT_BITS = 64, 6
@@ -31,25 +29,24 @@ def _last(array: str, cond) -> Column:
     return F.try_element_at(hits, F.lit(-1))
 
 
-def match_known(events: DataFrame, history: DataFrame, event: str, attribute: str, t: str, known: str, payload: str) -> DataFrame:
-    """For each (event, attribute): the version known then (``known_*``) and the one known in the end (``final_*``).
+def match_known(events: DataFrame, history: DataFrame, event: str, attribute: str, t: str, known: str) -> DataFrame:
+    """For each (event, attribute): which version was known then (``known_*``) and which in the end (``final_*``).
 
     ``events``: columns ``event``, ``attribute``, ``t`` (event time) and ``known`` (time of knowledge), bigints.
-    ``history``: ``attribute``, ``t``, ``known``, ``payload``. A version with a null in the first three takes no
-    part; a null payload does. An event with a null attribute or time matches nothing; with a null ``known`` it
-    has no known version. Versions with equal (t, known) count as one, the largest payload. Result: one row per
-    row of ``events`` with ``event``, ``attribute``, ``known_t``, ``known_k``, ``known_payload``, ``final_t``,
-    ``final_k``, ``final_payload`` (null where there is no such version).
+    ``history``: ``attribute``, ``t``, ``known``. A version with a null in these takes no part. An event with a null
+    attribute or time matches nothing; with a null ``known`` it has no known version. Result: one row per row of
+    ``events`` with ``event``, ``attribute``, ``known_t``, ``known_k``, ``final_t``, ``final_k`` (null where there is
+    no such version). Only times travel here; ``with_payload`` fetches what the matched versions hold.
     """
-    h = history.where(F.col(known).isNotNull()).select(F.col(attribute).alias("_a"), F.col(t).alias("_t"), F.col(known).alias("_k"), F.col(payload).alias("_p"))
+    h = history.where(F.col(known).isNotNull()).select(F.col(attribute).alias("_a"), F.col(t).alias("_t"), F.col(known).alias("_k"))
     e = events.select(F.col(event).alias("_e"), F.col(attribute).alias("_a"), F.col(t).alias("_t"), F.col(known).alias("_k"))
     hb, eb = with_blocks(h, "_a", "_t", BLOCK, probes=e)
-    blocks = hb.groupBy("_a", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_k").alias("k"), F.col("_p").alias("p")))).alias("_v"), F.min("_k").alias("_mk"))
+    blocks = hb.groupBy("_a", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_k").alias("k")))).alias("_v"), F.min("_k").alias("_mk"))
     blocks = cut(blocks)
     top = blocks.agg(F.max("block")).first()[0] or 0
 
     own = eb.join(blocks.select("_a", "block", "_v"), ["_a", "block"], "left")
-    own = own.withColumn("_f", _last("_v", lambda v: v["t"] <= F.col("_t"))).withColumn("_h", _last("_v", lambda v: (v["t"] <= F.col("_t")) & (v["k"] <= F.col("_k")))).drop("_v")
+    own = own.withColumn("_f", _last("_v", lambda v: v["t"] <= F.col("_t"))).withColumn("_h", _last("_v", lambda v: (v["t"] <= F.col("_t")) & (v["k"] <= F.col("_k")))).drop("_v", "_t")
     own = cut(own.withColumn("_i", F.monotonically_increasing_id()))
 
     open_ = own.where("block is not null").select("_i", "_a", F.col("block").alias("_node"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("_h").alias("hit"), F.col("_k").alias("k")), F.struct(F.lit(1).alias("kind"), F.col("_f").alias("hit"), F.lit(FOREVER).alias("k")))).alias("_q"))
@@ -60,10 +57,22 @@ def match_known(events: DataFrame, history: DataFrame, event: str, attribute: st
     else:
         by = found.groupBy("_i").agg(F.max(F.when(F.col("_kind") == 0, F.col("_hit"))).alias("_h2"), F.max(F.when(F.col("_kind") == 1, F.col("_hit"))).alias("_f2"))
         known_hit = own.join(by, "_i", "left").withColumn("_kh", F.coalesce("_h", "_h2")).withColumn("_fh", F.coalesce("_f", "_f2"))
-    cols = [F.col(f"{x}.{y}").alias(f"{n}_{z}") for x, n in (("_kh", "known"), ("_fh", "final")) for y, z in (("t", "t"), ("k", "k"), ("p", "payload"))]
+    cols = [F.col(f"{x}.{y}").alias(f"{n}_{y}") for x, n in (("_kh", "known"), ("_fh", "final")) for y in ("t", "k")]
     return known_hit.select(F.col("_e").alias(event), F.col("_a").alias(attribute), *cols)
 
 
+def with_payload(matches: DataFrame, history: DataFrame, attribute: str, t: str, known: str, payload: str) -> DataFrame:
+    """Add ``known_payload``, what the known versions of ``matches`` hold; matches without a known version are left out.
+
+    Versions with equal (attribute, t, known) count as one, with the largest payload.
+    """
+    h = history.select(F.col(attribute), F.col(t).alias("known_t"), F.col(known).alias("known_k"), F.col(payload).alias("known_payload"))
+    wanted = matches.where("known_t is not null")
+    keys = small(cut(wanted.select(attribute, "known_t", "known_k").distinct()))
+    held = h.join(keys, [attribute, "known_t", "known_k"]).groupBy(attribute, "known_t", "known_k").agg(F.max("known_payload").alias("known_payload"))
+    return wanted.join(held, [attribute, "known_t", "known_k"])
+
+
 def _climb(open_: DataFrame, blocks: DataFrame, top: int) -> DataFrame | None:
     """Hits of the searches in ``open_`` in blocks before their own; the number of rounds is log64 of the blocks."""
     summaries, level = [], blocks.select("_a", F.col("block").alias("_c"), "_mk")
@@ -85,18 +94,15 @@ def _climb(open_: DataFrame, blocks: DataFrame, top: int) -> DataFrame | None:
         step = down.withColumn("_parent", F.col("_node")).join(s.select("_a", "_parent", "_s"), ["_a", "_parent"])
         lower = step.select("_i", "_a", "_kind", "_k", _last("_s", lambda x: x["mk"] <= F.col("_k"))["c"].alias("_node"))
         down = lower.unionByName(at.pop())
-    leaf = down.join(blocks.select("_a", F.col("block").alias("_node"), "_v"), ["_a", "_node"])
+    leaf = small(cut(down)).join(blocks.select("_a", F.col("block").alias("_node"), "_v"), ["_a", "_node"])
     return leaf.select("_i", "_kind", _last("_v", lambda v: v["k"] <= F.col("_k")).alias("_hit"))
 
 
 def pivot_known(matches: DataFrame, event: str, attribute: str, value: str = "known_payload") -> DataFrame:
     """The matches of an event put back side by side: ``attributes`` maps attribute to matched value.
 
-    An attribute without a version is left out of the map; an event without any has an empty map.
+    An attribute without a version is left out of the map.
     """
     pair = F.when(F.col("known_t").isNotNull() & F.col(attribute).isNotNull(), F.struct(F.col(attribute), F.col(value)))
     return matches.groupBy(event).agg(F.map_from_entries(F.sort_array(F.collect_set(pair))).alias("attributes"))
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -113,7 +113,7 @@ def spikes_and_stuck(observations: DataFrame, limits: DataFrame) -> DataFrame:
     it stands still more than half of the time (then nothing counts as stuck). Series with a single reading, or
     that never change, have no spikes.
     """
-    blocked, _ = with_blocks(first_versions(observations, limits), "series_id", "t", BLOCK, cells=16384)
+    blocked, _ = with_blocks(first_versions(observations, limits), "series_id", "t", BLOCK)
     blocked = cut(blocked)
     d = blocked.withColumn("d", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("series_id", "block").orderBy("t")))).where("d is not null")
     usual = d.groupBy("series_id").agg((F.avg((F.col("d") == 0).cast("int")) > 0.5).alias("still"), F.percentile_approx("d", 0.5, 10000).alias("_all"), F.percentile_approx(F.when(F.col("d") > 0, F.col("d")), 0.5, 10000).alias("_moves"))

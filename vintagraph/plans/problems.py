@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagraph.operators.grid import regular_grid
-from vintagraph.operators.known import match_known, pivot_known
+from vintagraph.operators.known import match_known, pivot_known, with_payload
 from vintagraph.operators.references import orphan_counts, orphans, references
 from vintagraph.operators.spikes import implausible
 from vintagraph.session import cut, micros
@@ -19,20 +19,22 @@ def _feature_events(spark: SparkSession, d: str) -> DataFrame:
     return values.join(specs, "feature_id").select("feature_value_id", "series_id", "t", "k")
 
 
-def _matches(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "observations").select("series_id", micros("timestamp").alias("t"), micros("as_of").alias("k"), "observation_id")
-    return match_known(_feature_events(spark, d), h, "feature_value_id", "series_id", "t", "k", "observation_id")
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "observations").select("series_id", micros("timestamp").alias("t"), micros("as_of").alias("k"), "observation_id")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    m = _matches(spark, d)
-    differs = (F.col("known_t") != F.col("final_t")) | (F.col("known_k") != F.col("final_k"))
-    return m.where(F.col("known_t").isNotNull() & differs).select("feature_value_id", F.col("known_payload").alias("observation_id"))
+    h = _history(spark, d)
+    m = match_known(_feature_events(spark, d), h, "feature_value_id", "series_id", "t", "k")
+    m = m.where((F.col("known_t") != F.col("final_t")) | (F.col("known_k") != F.col("final_k")))
+    return with_payload(m, h, "series_id", "t", "k", "observation_id").select("feature_value_id", F.col("known_payload").alias("observation_id"))
 
 
 def p1_attributes(spark: SparkSession, d: str) -> DataFrame:
-    """One row per feature value: the version of each input series known then, side by side."""
-    m = pivot_known(_matches(spark, d), "feature_value_id", "series_id")
+    """One row per feature value with a known input: the version of each input series known then, side by side."""
+    h = _history(spark, d)
+    m = match_known(_feature_events(spark, d), h, "feature_value_id", "series_id", "t", "k")
+    m = pivot_known(with_payload(m, h, "series_id", "t", "k", "observation_id"), "feature_value_id", "series_id")
     return m.select("feature_value_id", F.size("attributes").alias("n_known"), F.array_join(F.array_sort(F.map_values("attributes")), ",").alias("observation_ids"))
 
 
@@ -102,8 +104,7 @@ WITH u AS (SELECT series_id, timestamp, as_of, value FROM observations
 """
 SQL = {
     "p1_found": _P1 + "SELECT feature_value_id, a.o observation_id FROM ba WHERE a IS NOT NULL AND (a.t <> b.t OR a.k <> b.k)",
-    "p1_attributes": _P1 + ", f AS (SELECT feature_value_id, count(a) n_known, coalesce(string_agg(a.o, ',' ORDER BY a.o), '') observation_ids FROM ba GROUP BY 1) "
-    "SELECT x.feature_value_id, coalesce(n_known, 0)::INT n_known, coalesce(observation_ids, '') observation_ids FROM (SELECT DISTINCT feature_value_id FROM ev) x LEFT JOIN f USING (feature_value_id)",
+    "p1_attributes": _P1 + "SELECT feature_value_id, count(*)::INT n_known, string_agg(a.o, ',' ORDER BY a.o) observation_ids FROM ba WHERE a IS NOT NULL GROUP BY 1",
     "p3_found": _P3 + "SELECT relation_id, endpoint, reason FROM bad",
     "p3_counts": _P3 + ", t AS (SELECT endpoint, strftime(created_at, '%Y-%m') AS month, count(*) n_refs FROM r GROUP BY 1, 2), "
     "b AS (SELECT endpoint, strftime(created_at, '%Y-%m') AS month, reason, count(*) n_orphans FROM bad GROUP BY 1, 2, 3) "
