@@ -70,6 +70,8 @@ ERRORS = [
     r"^Traceback \(most recent call last\)",
     r"^(?:[A-Z][A-Za-z]+(?:Error|Exception))\s*:",
     r"(?i)^(?:uncaught |unhandled )?exception (?:in|at|:)",
+    r"(?i)^sql ?state\W+[0-9a-z]{5,8}\b",
+    r"(?i)^(?:[a-z ]{0,24}: )?(?:the )?(?:database |mysql )?server has gone away",
     r"(?i)upstream (?:timed out|connect error)",
     r"(?i)^please try again (?:in|after) [0-9#]+ (?:second|minute)s?\b",
     r"(?i)^too many requests\b",
