@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vintagraph.session import cut
+
 #: Sources from which a message recurs widely.
 SOURCES = 2
 _NAME = r"[A-Za-z가-힣_][A-Za-z0-9가-힣_.\-]*(?: [가-힣A-Za-z_][A-Za-z0-9가-힣_.\-]*)?"
@@ -44,6 +46,8 @@ PLACEHOLDERS = [
     r"[○□△◇〇]{2,}",
     r"[가-힣 ]{1,12}안에 [가-힣 ]{1,12}(?:을|를) (?:쓰세요|적으세요|입력하세요|넣으세요)",
 ]
+#: A message without any of these marks has no placeholder; one cheap look saves the rules above for few messages.
+_MARK = r"[{<«&\[@(○□△◇〇%]|__|XX|YYYY|MM월|TODO|FIXME|TBD|안에"
 #: Dummy filler.
 FILLER = [
     r"(?i)\blorem\b.*\b(?:ipsum|dolor|amet)\b",
@@ -130,7 +134,7 @@ def masked(message: Column) -> Column:
 
 def kind_of(message: Column) -> Column:
     """The kind of a message by the strong rules, null if none applies."""
-    return F.coalesce(*[F.when(_any(message, rules), F.lit(kind)) for kind, rules in _RULES.items()])
+    return F.coalesce(*[F.when((message.rlike(_MARK) if kind == "placeholder" else F.lit(True)) & _any(message, rules), F.lit(kind)) for kind, rules in _RULES.items()])
 
 
 def residue(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -139,7 +143,8 @@ def residue(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     Null and blank texts, and rows without an id, are no residue. Rows of the same id are one document.
     """
     m = messages(docs, doc_id, text, source).withColumn("kind", kind_of(F.col("message"))).withColumn("weak", _any(F.col("message"), WEAK))
-    hit = m.where("kind is not null or weak").withColumn("h", F.xxhash64(masked(F.col("message"))))
+    # read twice below: written once, so that the texts are worked through once
+    hit = cut(m.where("kind is not null or weak").withColumn("h", F.xxhash64(masked(F.col("message")))))
     # only messages that could be residue are grouped: their copies all match the same rules, as those see no numbers
     groups = hit.groupBy("h", "_src").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("n_sources"), F.sum("n").alias("n_docs"))
     found = hit.join(groups, "h").where(F.col("kind").isNotNull() | (F.col("weak") & (F.col("n_sources") >= SOURCES)))
