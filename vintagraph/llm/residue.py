@@ -35,7 +35,9 @@ PLACEHOLDERS = [
     r"(?:^|[^<\w])<(?!/?" + _HTML + r"\b)" + _ONE + r">(?!>)",
     r"\[\[\s*" + _NAME + r"\s*\]\]",
     r"\[(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|enter) [^\[\]]{1,40}\]",
-    r"\[[^\[\]]{1,40} (?:입력|기입|작성|삽입)\]",
+    r"\[[^\[\]]{1,40} (?:입력|기입|작성|삽입|기재)\]",
+    r"\((?:[A-Za-z_][A-Za-z0-9_.\-]*|[가-힣]+(?: [가-힣]+)?) (?:기재|입력|기입|작성|삽입)\)",
+    r"%\(" + _NAME + r"\)[sdf]|%\{" + _NAME + r"\}",
     r"@@" + _NAME + r"@@",
     r"(?:^|\W)__" + r"[A-Za-z가-힣][A-Za-z0-9가-힣_.\- ]*?" + r"__(?:\W|$)",
     r"(?:^|[^A-Za-z])XX" + r"[A-Za-z가-힣_][A-Za-z0-9가-힣_.\-]*(?: [가-힣]+)?" + r"XX(?:[^A-Za-z]|$)",
