@@ -14,23 +14,25 @@ from vintagraph.sources.tables import table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
-_n = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
+
 
 
 @query("SELECT count(*) n, count(DISTINCT series_id) n_series, count(*) FILTER (is_revision) n_revisions, min(timestamp) lo, max(timestamp) hi FROM observations")
 def store_stats(s, d):
-    return table(s, d, "observations").agg(_n.alias("n"), F.count_distinct("series_id").alias("n_series"), F.count_if("is_revision").alias("n_revisions"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    return table(s, d, "observations").agg(_n().alias("n"), F.count_distinct("series_id").alias("n_series"), F.count_if("is_revision").alias("n_revisions"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
 
 
 @query("SELECT feature_id, count(*) n FROM feature_values GROUP BY 1 ORDER BY n DESC, feature_id LIMIT 10")
 def top_features(s, d):
-    return table(s, d, "feature_values").groupBy("feature_id").agg(_n.alias("n")).orderBy(F.col("n").desc(), "feature_id").limit(10)
+    return table(s, d, "feature_values").groupBy("feature_id").agg(_n().alias("n")).orderBy(F.col("n").desc(), "feature_id").limit(10)
 
 
 @query("SELECT ts::DATE::VARCHAR AS \"day\", hour(ts)::INT AS \"hour\", event_type, round(sum(value), 4) total, round(avg(value), 6) mean, max(value) hi, min(value) lo, count(*) n FROM events GROUP BY 1, 2, 3")
 def hourly_rollup(s, d):
     e = table(s, d, "events").groupBy(F.to_date("ts").cast("string").alias("day"), F.hour("ts").alias("hour"), "event_type")
-    return e.agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("hi"), F.min("value").alias("lo"), _n.alias("n"))
+    return e.agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("hi"), F.min("value").alias("lo"), _n().alias("n"))
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O') n_open, count(*) FILTER (o_orderstatus = 'F') n_done, count(*) FILTER (o_orderstatus = 'P') n_part, count(DISTINCT o_custkey) n_customers, min(o_orderdate) first_at, max(o_orderdate) last_at FROM orders GROUP BY 1")
@@ -46,7 +48,7 @@ def listagg_types(s, d):
 
 @query("SELECT c_custkey, count(o_orderkey) n_orders, coalesce(round(sum(o_totalprice), 2), 0) total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def customer_left_stats(s, d):
-    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n.alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n().alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     j = table(s, d, "customer").select("c_custkey").join(o, "c_custkey", "left")
     return j.select("c_custkey", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
@@ -59,20 +61,20 @@ def fact_lookup(s, d):
 
 @query("SELECT user_id, min(ts) first_at, max(ts) last_at, epoch_us(max(ts)) - epoch_us(min(ts)) elapsed_us, bool_or(value < 5) failed, min_by(event_type, event_id) first_kind, count(*) n FROM events GROUP BY 1")
 def session_summary(s, d):
-    return table(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), (micros(F.max("ts")) - micros(F.min("ts"))).alias("elapsed_us"), F.bool_or(F.col("value") < 5).alias("failed"), F.min_by("event_type", "event_id").alias("first_kind"), _n.alias("n"))
+    return table(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), (micros(F.max("ts")) - micros(F.min("ts"))).alias("elapsed_us"), F.bool_or(F.col("value") < 5).alias("failed"), F.min_by("event_type", "event_id").alias("first_kind"), _n().alias("n"))
 
 
 @query("SELECT event_type, avg((value >= 10)::INT) success_rate, round(avg(value), 6) mean, round(avg(value) FILTER (value >= 10), 6) mean_ok, count(*) / (SELECT count(*) FROM events) share FROM events GROUP BY 1")
 def error_report(s, d):
     e = table(s, d, "events")
-    all_ = e.agg(_n.alias("_all"))
-    g = e.groupBy("event_type").agg(F.avg((F.col("value") >= 10).cast("int")).alias("success_rate"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg(F.when(F.col("value") >= 10, F.col("value"))), 6).alias("mean_ok"), _n.alias("_n"))
+    all_ = e.agg(_n().alias("_all"))
+    g = e.groupBy("event_type").agg(F.avg((F.col("value") >= 10).cast("int")).alias("success_rate"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg(F.when(F.col("value") >= 10, F.col("value"))), 6).alias("mean_ok"), _n().alias("_n"))
     return g.join(F.broadcast(all_)).withColumn("share", F.col("_n") / F.col("_all")).drop("_n", "_all")
 
 
 @query("SELECT date_trunc('hour', ts) AS \"hour\", count(*) n, avg((value >= 10)::INT) success_rate, round(avg(value), 6) mean FROM events GROUP BY 1")
 def hourly_trend(s, d):
-    return table(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(_n.alias("n"), F.avg((F.col("value") >= 10).cast("int")).alias("success_rate"), F.round(F.avg("value"), 6).alias("mean"))
+    return table(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(_n().alias("n"), F.avg((F.col("value") >= 10).cast("int")).alias("success_rate"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("WITH w AS (SELECT event_id, user_id, count(*) OVER q n, avg(value) OVER q m, avg((value < 10)::INT) OVER q e FROM events WINDOW q AS (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING)) SELECT event_id, user_id, round(m, 6) mean, round(e, 6) error_rate FROM w WHERE n = 10 AND (m > 60 OR e > 0.1)")
@@ -85,7 +87,7 @@ def alerts_last10(s, d):
 @query("SELECT topic, lang, count(*) n FROM documents GROUP BY GROUPING SETS ((topic), (lang), ())")
 def gold_distribution(s, d):
     t = table(s, d, "documents")
-    return t.groupingSets([["topic"], ["lang"], []], "topic", "lang").agg(_n.alias("n"))
+    return t.groupingSets([["topic"], ["lang"], []], "topic", "lang").agg(_n().alias("n"))
 
 
 _QA = "WITH q AS (SELECT DISTINCT ON (qa_id) * FROM qa_pairs ORDER BY qa_id)"
@@ -103,7 +105,7 @@ def evaluation_stats(s, d):
 
 @query("SELECT filename, count(*) n_chunks, avg(length(content)) mean_length, max(page_number) pages FROM text_chunks GROUP BY 1")
 def chunk_stats(s, d):
-    return table(s, d, "text_chunks").groupBy("filename").agg(_n.alias("n_chunks"), F.avg(F.length("content")).alias("mean_length"), F.max("page_number").alias("pages"))
+    return table(s, d, "text_chunks").groupBy("filename").agg(_n().alias("n_chunks"), F.avg(F.length("content")).alias("mean_length"), F.max("page_number").alias("pages"))
 
 
 _WQ = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
@@ -182,7 +184,7 @@ p AS (SELECT entity, regime, priority, avg(ok::INT) prob, avg((x IS NULL)::INT)
 
 
 def _probs(s, d):
-    u = table(s, d, "events").groupBy(F.col("user_id").alias("entity")).agg(_n.cast("double").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"))
+    u = table(s, d, "events").groupBy(F.col("user_id").alias("entity")).agg(_n().cast("double").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"))
     v = u.select("entity", F.expr("stack(3, 'n', n, 'mean', mean, 'top', top) as (feature, value)"))
     return scoring.regimes(v, s.createDataFrame(_REG, "regime string, priority int, feature string, op string, lo double, hi double"))
 
@@ -210,7 +212,7 @@ _CT = "CASE WHEN v >= 0.7 THEN 1.0 WHEN v >= 0.3 THEN 0.5 WHEN v >= -0.3 THEN 0.
 def contribution_score(s, d):
     e = table(s, d, "events").select("event_type", "user_id", (F.col("value") / 50 - 1).alias("v"), F.when(F.col("event_id") % 3 == 0, "negative").otherwise("positive").alias("dir"), (1 + F.col("event_id") % 4).alias("w"))
     c = e.withColumn("c", scoring.contribution(F.col("v"), F.col("dir"))).where("c is not null")
-    return c.groupBy("event_type", "user_id").agg(F.round(F.sum(F.col("c") * F.col("w")) / F.sum("w"), 6).alias("score"), _n.alias("n"))
+    return c.groupBy("event_type", "user_id").agg(F.round(F.sum(F.col("c") * F.col("w")) / F.sum("w"), 6).alias("score"), _n().alias("n"))
 
 
 _RL = "WITH r AS (SELECT DISTINCT ON (relation_id) *, props.domain_conf c, props.evidence_count k, datediff('day', created_at, TIMESTAMP '2026-06-01') dd FROM relations ORDER BY relation_id)"
@@ -249,7 +251,7 @@ def category_grades(s, d):
 def policy_report(s, d):
     q = qa(s, d).where("confidence is not null and expected is not null and generated is not null")
     b = q.select("topic", F.when(F.col("confidence") < 0.4, "low").when(F.col("confidence") < 0.7, "mid").otherwise("high").alias("bucket"), F.col("confidence").alias("c"), (F.col("expected") == F.col("generated")).cast("int").alias("hit"))
-    return b.groupingSets([["topic"], ["bucket"]], "topic", "bucket").agg(_n.alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"), F.round(1 - F.avg(F.abs(F.col("c") - F.col("hit"))), 6).alias("calibration"))
+    return b.groupingSets([["topic"], ["bucket"]], "topic", "bucket").agg(_n().alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"), F.round(1 - F.avg(F.abs(F.col("c") - F.col("hit"))), 6).alias("calibration"))
 
 
 @query("SELECT e.event_id, f.event_id AS outcome_id FROM events e LEFT JOIN (SELECT user_id, ts::DATE dt, min(event_id) event_id FROM events GROUP BY 1, 2) f ON f.user_id = e.user_id AND f.dt = e.ts::DATE + 7")
