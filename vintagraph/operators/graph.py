@@ -105,7 +105,7 @@ def two_hop_shock(edges: DataFrame, seeds: DataFrame, fan: int = 2) -> DataFrame
 
 
 def levels(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """node, level of an acyclic graph: the longest path to it. Raises if paths are longer than ``depth`` (a cycle)."""
+    """node, level of an acyclic graph: the longest path to it. Raises if there is a cycle, or a path longer than ``depth``."""
     e = edges.select("src", "dst").distinct()
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     front = cut(nodes.join(e.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
@@ -116,6 +116,8 @@ def levels(edges: DataFrame, depth: int = 32) -> DataFrame:
             raise ValueError(f"paths longer than {depth}: the graph has a cycle")
         front = cut(front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(n)))
         out = out.unionByName(front)
+    if not nodes.join(out, "node", "left_anti").isEmpty():
+        raise ValueError("nodes that no source reaches: the graph has a cycle")
     return nodes.join(out.groupBy("node").agg(F.max("level").alias("level")), "node")
 
 
