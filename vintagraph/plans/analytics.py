@@ -254,11 +254,11 @@ def policy_report(s, d):
     return b.groupingSets([["topic"], ["bucket"]], "topic", "bucket").agg(_n().alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"), F.round(1 - F.avg(F.abs(F.col("c") - F.col("hit"))), 6).alias("calibration"))
 
 
-@query("SELECT e.event_id, f.event_id AS outcome_id FROM events e LEFT JOIN (SELECT user_id, ts::DATE dt, min(event_id) event_id FROM events GROUP BY 1, 2) f ON f.user_id = e.user_id AND f.dt = e.ts::DATE + 7")
+@query("SELECT e.event_id, coalesce(f.event_id, -1) outcome_id FROM events e LEFT JOIN (SELECT user_id, ts::DATE dt, min(event_id) event_id FROM events GROUP BY 1, 2) f ON f.user_id = e.user_id AND f.dt = e.ts::DATE + 7")
 def outcome_join(s, d):
     e = table(s, d, "events").select("event_id", "user_id", F.to_date("ts").alias("dt"))
     f = e.groupBy("user_id", F.date_sub("dt", 7).alias("dt")).agg(F.min("event_id").alias("outcome_id"))
-    return e.join(f, ["user_id", "dt"], "left").select("event_id", "outcome_id")
+    return e.join(f, ["user_id", "dt"], "left").select("event_id", F.coalesce("outcome_id", F.lit(-1)).alias("outcome_id"))
 
 
 @query("SELECT c_custkey AS id, 'customer_only' side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'orders_only' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")

@@ -48,14 +48,14 @@ def chunk_legal(s, d):
 _LINE = "strftime(ts, '%Y-%m-%d %H:%M:%S') || ' | [session_' || user_id || '] ' || event_type || ': ' || printf('%.2f', value) || '초'"
 
 
-@query("SELECT user_id::VARCHAR AS \"session\", event_type step, count(*) n, round(sum(round(value, 2)), 1) total, min(round(value, 2)) lo, max(round(value, 2)) hi FROM events GROUP BY 1, 2")
+@query("SELECT user_id::VARCHAR AS \"session\", event_type step, count(*) n, sum(round(round(value, 2) * 100)::BIGINT)::BIGINT centis, min(round(value, 2)) lo, max(round(value, 2)) hi FROM events GROUP BY 1, 2")
 def step_log_report(s, d):
     """Log lines are written from the events, parsed back and reported."""
     e = table(s, d, "events")
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" | [session_"), "user_id", F.lit("] "), "event_type", F.lit(": "), F.format_string("%.2f", F.round("value", 2)), F.lit("초"))
     p = parse_steps(e.select(line.alias("value")))
     g = p.groupBy(F.substring_index("session", "_", -1).alias("session"), "step")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("seconds"), 1).alias("total"), F.min("seconds").alias("lo"), F.max("seconds").alias("hi"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("seconds") * 100).cast("bigint")).alias("centis"), F.min("seconds").alias("lo"), F.max("seconds").alias("hi"))
 
 
 def _stream(s, d):

@@ -242,12 +242,12 @@ def json_props(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.from_json("props", "k bigint")["k"].alias("n"))
 
 
-@query("WITH x AS (SELECT id, pdf_file_id, page_number, content, lag(id) OVER w p, lead(id) OVER w n FROM text_chunks WINDOW w AS (PARTITION BY pdf_file_id ORDER BY id)) SELECT id, p AS prev_id, n AS next_id FROM x")
+@query("WITH x AS (SELECT id, pdf_file_id, page_number, content, lag(id) OVER w p, lead(id) OVER w n FROM text_chunks WINDOW w AS (PARTITION BY pdf_file_id ORDER BY id)) SELECT id, coalesce(p, -1) prev_id, coalesce(n, -1) next_id FROM x")
 def neighbour_chunks(s, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("pdf_file_id").orderBy("id")
-    return table(s, d, "text_chunks").select("id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"))
+    return table(s, d, "text_chunks").select("id", F.lag("id", 1, -1).over(w).alias("prev_id"), F.lead("id", 1, -1).over(w).alias("next_id"))
 
 
 @query("WITH w AS (SELECT doc_id, unnest(" + _W.format("text") + ") w FROM documents WHERE text IS NOT NULL), c AS (SELECT w, count(*) n, count(DISTINCT doc_id) docs FROM w WHERE length(w) BETWEEN 2 AND 20 AND NOT regexp_matches(w, '^[0-9]+$') GROUP BY 1) SELECT w word, n, docs FROM c WHERE docs >= 5")
