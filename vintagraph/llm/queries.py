@@ -54,7 +54,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     """The documents that hold no item."""
-    return table(spark, d, "documents").select("doc_id", "n_chars").join(p9_found(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
+    return table(spark, d, "documents").select("doc_id").join(p9_found(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,5 +94,5 @@ SQL = {
     "p2_found": r"SELECT id FROM text_chunks WHERE length(trim(content, E' \t\r\n')) > 800",
     "p4_found": _P4 + "SELECT DISTINCT least(a, b) id_a, greatest(a, b) id_b FROM r WHERE k <= 5",
     "p9_found": _P9 + "SELECT doc_id, item_id FROM f",
-    "p9_clean": _P9 + "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)",
+    "p9_clean": _P9 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)",
 }
