@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagraph.functions import text as T
-from vintagraph.session import cut, small
+from vintagraph.session import cut, small, spread
 
 K1, B, EPS = 1.5, 0.75, 1e-9
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -69,16 +69,18 @@ def bm25(docs: DataFrame, queries: DataFrame, double_exact: bool = True) -> Data
     qt = gram_counts(queries.select(F.col("qid").alias("id"), F.col("query").alias("text"))).select(F.col("id").alias("qid"), "term")
     qt = cut(qt)
     vocabulary = small(cut(qt.select("term").distinct()), 500_000)
-    p = cut(gram_counts(docs).join(vocabulary, "term", "left_semi"))
+    p = cut(gram_counts(spread(docs.select("id", "text"))).join(vocabulary, "term", "left_semi"))
     n = F.length(F.regexp_replace(F.lower("text"), r"\s+", " "))
     grams = lambda k: F.greatest(n - k + 1, F.lit(0))
     length = docs.select("id", (grams(3) + grams(4) + grams(5)).alias("dl"))
     stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     w = df.join(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    j = p.join(length, "id").join(w, "term")
+    # query terms and weights are as large as the query set: broadcast while that is small, so that the documents'
+    # scores are summed before they are shuffled
+    j = p.join(length, "id").join(small(cut(w), 500_000), "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("avgdl") + EPS)) + EPS)
-    s = j.select("id", "term", part.alias("part")).join(qt, "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
+    s = j.select("id", "term", part.alias("part")).join(small(qt, 500_000), "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
     if double_exact:
         x = s.join(queries, "qid").join(docs.select("id", "text"), "id")
         s = x.select("qid", "id", (F.col("score") * F.when(F.contains(F.lower("text"), F.lower("query")), 2).otherwise(1)).alias("score"))

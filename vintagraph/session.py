@@ -61,3 +61,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def micros(ts: str | Column) -> Column:
     """Microseconds since the epoch of a timestamp column (zoneless ones are read as UTC)."""
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is read in fewer partitions than there are (a few files, or one); else unchanged.
+
+    For work that costs far more per row than moving the row does. Large inputs have more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
