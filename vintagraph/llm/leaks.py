@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from vintagraph.session import spread
+
 #: Shortest stretch that counts, and words a shard and a block of test texts hold (whole texts, so a long one may pass it).
 STRETCH, SHARD_WORDS, BLOCK_WORDS = 6, 600_000, 2_000_000
 _WORD = re.compile(r"\w+")
@@ -147,7 +149,7 @@ def leaked(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, items:
     Null and empty texts and items of fewer than STRETCH words hold and give nothing. A text under two ids comes out
     under both. Documents are read once per block of test texts; no row is shuffled.
     """
-    out = None
+    out, docs = None, spread(docs.select(doc_id, text))
     for tests in blocks(spark, items, item_id, item_text):
         shared = spark.sparkContext.broadcast(tests)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintagraph.session import cut
+from vintagraph.session import cut, spread
 
 #: Sources from which a message recurs widely.
 SOURCES = 2
@@ -122,7 +122,7 @@ def messages(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     clean = F.regexp_replace(text, r"[\x00-\x08\x0e-\x1f\x7f​‌‍﻿]", "")
     parts = F.split(clean, r"(?<=[.!?。])\s+|[\n\r\x0b\x0c]+")
     tidy = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(?U)\s+", " "), _LEAD, "")))
-    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(source), F.lit("")).alias("_src"), F.explode(F.array_distinct(tidy)).alias("message"))
+    rows = spread(docs.select(doc_id, text, source).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())).select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(source), F.lit("")).alias("_src"), F.explode(F.array_distinct(tidy)).alias("message"))
     return rows.where("length(message) > 2")
 
 

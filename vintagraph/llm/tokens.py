@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from vintagraph.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern of this vocabulary's words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,7 +95,7 @@ def encode_column(spark: SparkSession, docs: DataFrame, id_: str, text: str, pat
     """
     shared = spark.sparkContext.broadcast(load(path))
     key = hash((path, id(shared)))
-    two = docs.select(id_, text)
+    two = spread(docs.select(id_, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _ENCODERS.setdefault(key, Encoder(shared.value))
