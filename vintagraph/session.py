@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,19 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per context, unless PYTHONPATH already has it there."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(sc, "_vintagraph_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc._vintagraph_shipped = True
+    path = os.path.join(tempfile.mkdtemp(prefix="vintagraph-"), "vintagraph.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "vintagraph")):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    sc.addPyFile(path)  # Spark's file server hands it to the executors

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vintagraph.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``<folder>/<name>.parquet`` (a file or a folder of part files).
 
-    Zoneless timestamps are read as UTC, for which the session time zone is set here.
+    Zoneless timestamps are read as UTC, for which the session time zone is set here; the executors get this package here too.
     """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
