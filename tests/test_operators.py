@@ -178,3 +178,9 @@ def test_chunk_files(spark, tmp_path):
     c = spark.createDataFrame([("d", "f", 1, 0, 3, "글", {"a": "b"}), ("e", None, None, None, None, "", None)], readers.CHUNKS)
     readers.write_chunks(c, str(tmp_path / "x"))
     assert sorted(map(str, readers.read_chunks(spark, str(tmp_path / "x")).collect())) == sorted(map(str, c.collect()))
+
+
+def test_pairs_without_trades(spark):
+    s = spark.createDataFrame([("a", "b", i, 0.0, 0.1) for i in range(5)], "a string, b string, dt int, spread double, z double")
+    assert pairs.positions(s).count() == 0
+    assert pairs.positions(s.limit(0)).count() == 0

@@ -59,7 +59,8 @@ def gram_counts(rows: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
                     ids += [i] * len(c)
                     terms += c.keys()
                     tfs += c.values()
-                yield pd.DataFrame({"id": ids, "term": terms, "tf": tfs})
+                if ids:
+                    yield pd.DataFrame({"id": ids, "term": terms, "tf": tfs})
 
     return rows.select("id", "text").mapInPandas(run, "id bigint, term string, tf bigint")
 
