@@ -169,10 +169,11 @@ def leaked(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, items:
                     texts.append(x)
                     n += (len(x) if x else 0) // 4
                     if n >= SHARD_WORDS:
-                        yield done()
+                        if len(r := done()):
+                            yield r
                         ids, texts, n = [], [], 0
-            if ids:
-                yield done()
+            if ids and len(r := done()):
+                yield r
 
         schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, covered double, longest int, longest_at int"
         part = docs.select(doc_id, text).mapInPandas(run, schema)
