@@ -14,7 +14,7 @@ from vintagraph.session import cut, small
 
 
 #: Histogram cells a block, and at most a key.
-FINE, CELLS = 4, 65536
+FINE, CELLS = 64, 65536
 
 
 def with_blocks(history: DataFrame, key: str, t: str, target: int, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
