@@ -168,6 +168,38 @@ def test_clusters_are_verified(spark):
     assert c[base] == c[base + "!"] and len(set(c.values())) == 3
 
 
+def test_clusters_hold_among_unrelated_texts(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(3, 8))) for _ in range(300)]
+    other = sorted({" ".join(r.choice(words) for _ in range(8)) for _ in range(20_000)})
+    base = "zzz we keep to what was agreed and leave this point for others to settle later on"
+    chain = [base, base + " ok", base + " ok so", base + " ok so be it then", base + " ok so be it then my friend"]
+    c = {x.s: x.c for x in answers.clusters(spark.createDataFrame([(x,) for x in [*other, *chain, base]], "s string")).collect()}
+    assert len(c) == len(other) + len(chain) and None not in c.values()
+    assert len({c[x] for x in chain}) == 1 and all(c[x] != c[base] for x in other)
+
+
+def test_clusters_equal_brute_force(spark, monkeypatch):
+    r = random.Random(7)
+    texts = []
+    for _ in range(12):
+        t = "".join(r.choice("abcd ") for _ in range(60))
+        texts += ["".join(r.choice("abcd ") if r.random() < 0.01 else x for x in t) for _ in range(12)]
+    texts = sorted({*texts, "a", "ab", "abcde", "abcdef"})
+    grams = {t: {t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts}
+    root = {t: t for t in texts}
+    for a in texts:
+        for b in texts:
+            if root[a] != root[b] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                old, new = root[a], root[b]
+                root = {k: new if v == old else v for k, v in root.items()}
+    for size in (1000, 5):  # in one go, and in pairs of blocks
+        monkeypatch.setattr(answers, "BUCKET", size)
+        c = {x.s: x.c for x in answers.clusters(spark.createDataFrame([(x,) for x in texts], "s string")).collect()}
+        assert sorted(sorted(t for t in texts if c[t] == k) for k in set(c.values())) == sorted(sorted(t for t in texts if root[t] == k) for k in set(root.values()))
+    assert answers.clusters(spark.createDataFrame([], "s string")).count() == 0
+
+
 # residue
 BAD = ["Dear {{name}}, hello.", "값은 ${기관명} 이다.", "As <<unit>> says.", "[INSERT date] was dry.", "Lorem ipsum dolor sit amet.", "Home | About\nError 404: Not Found.", "Traceback (most recent call last):\n  File x", "Please enable JavaScript to run this viewer.", "이 페이지를 보려면 자바스크립트를 사용하도록 설정해야 합니다.", "XXnameXX is here", "__author__ wrote it", "값 %(unit)s 이다", "20XX년 XX월"]
 GOOD = ["SCADA 화면에 404 오류가 표시되면 담당자는 통신 단자를 점검한다.", "The dashboard is written in JavaScript and refreshes every 5 seconds.", '설정 예: {"pump": 3, "limit": 0.25} 형태로 저장한다.', "수식 a<b 와 b>c 를 함께 만족한다.", "[표 3] 및 [주 1]은 자료이다.", "A template for shift reports was approved.", "", None, "   ", "word " * 20_000]

@@ -3,8 +3,8 @@
 Each answer gets at most one defect, by these checks in order: empty, copy of the question, other language than the
 question, refusal, truncated.
 
-Refusals: the sentences of all answers are masked and clustered by verified MinHash (character 5-grams, Jaccard at
-least 0.8). A cluster that recurs under unrelated prompts (several question frames) is independent of the prompt; one
+Refusals: the sentences of all answers are masked and clustered: components of the links of Jaccard at least 0.8
+(character 5-grams), all of them found by prefix filtering. A cluster that recurs under unrelated prompts (several question frames) is independent of the prompt; one
 whose answers say nothing else, or that declines in so many words, is a refusal. An answer is one if it has such a
 sentence and none that depends on its prompt.
 
@@ -16,8 +16,11 @@ begin; what usually goes on is broken off.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +56,9 @@ DECLINES = [
 #: Question frames under which a sentence recurs if it is independent of the prompt; occurrences, and the share of
 #: answers that say nothing else, from which such a sentence refuses.
 FRAMES, OFTEN, ALONE = 3, 5, 0.8
-JACCARD, GRAM, BANDS, ROWS = 0.8, 5, 8, 2
+JACCARD, GRAM = 0.8, 5
+#: Texts of a bucket, or of half a pair of blocks, that are compared in one go.
+BUCKET = 1000
 
 
 def bare(c: Column) -> Column:
@@ -114,21 +119,68 @@ def sentences(rows: DataFrame) -> DataFrame:
     return rows.select("id", "field", frame.alias("frame"), F.explode(parts).alias("s")).where("s <> ''")
 
 
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """i, j: links that join all alike members of a bucket. A text once linked is not compared with its like again."""
+    for batch in batches:
+        out = []
+        for members in batch["m"]:
+            ids, sizes = [m["i"] for m in members], np.array([len(m["g"]) for m in members])
+            starts = np.r_[0, np.cumsum(sizes)]
+            words, flat = np.unique(np.concatenate([np.asarray(m["g"]) for m in members]), return_inverse=True)
+            seen, left = np.zeros(len(words), dtype=np.int32), np.ones(len(ids), dtype=bool)
+            while left.any():
+                todo = [int(np.argmax(left))]
+                left[todo] = False
+                while todo and left.any():
+                    x = todo.pop()
+                    own = flat[starts[x] : starts[x + 1]]
+                    seen[own] = 1
+                    both = np.add.reduceat(seen[flat], starts[:-1])
+                    seen[own] = 0
+                    hits = np.flatnonzero(left & (both >= JACCARD * (sizes[x] + sizes - both)))
+                    out += [(ids[x], ids[y]) for y in hits]
+                    left[hits] = False
+                    todo += hits.tolist()
+        if out:
+            yield pd.DataFrame(out, columns=["i", "j"])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """i, c: the smallest id that each id of ``links`` (i, j) is connected with."""
+    e = cut(links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    lab = cut(e.groupBy("i").agg(F.least("i", F.min("j")).alias("c")))
+    while True:
+        near = e.join(lab.select(F.col("i").alias("j"), F.col("c").alias("n")), "j").groupBy("i").agg(F.min("n").alias("n"))
+        low = cut(lab.join(near, "i").select("i", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("moved")))
+        if low.where("moved").isEmpty():
+            return low.select("i", "c")
+        # the label's own label is at least as small
+        lab = cut(low.select("i", "c").join(low.select(F.col("i").alias("c"), F.col("c").alias("n")), "c").select("i", F.col("n").alias("c")))
+
+
 def clusters(texts: DataFrame) -> DataFrame:
-    """s, c: the distinct ``s`` of ``texts`` with their cluster, the smallest text of a shared band that is verified.
+    """s, c: the distinct ``s`` of ``texts`` with their cluster, a text of it; a text like no other is its own cluster.
 
-    Each text is compared with one representative per band, never with all of its bucket.
+    Exact: texts of Jaccard at least JACCARD share one of their rarest grams, as many as may differ and one more. These
+    are the buckets; all pairs of a bucket count, big ones in pairs of blocks of about BUCKET texts.
     """
     n = F.length("s")
-    grams = F.when(n > GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.col("s").substr(i, F.lit(GRAM))))).otherwise(F.array("s"))
-    t = texts.select("s").distinct().withColumn("g", grams)
-    sig = lambda k: F.array_min(F.transform("g", lambda x: F.xxhash64(x, F.lit(k))))
-    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(*[sig(b * ROWS + r) for r in range(ROWS)]).alias("v")) for b in range(BANDS)])).alias("_b")
-    t = t.select("s", "g", bands).select("s", "g", "_b.b", "_b.v")
-    reps = t.groupBy("b", "v").agg(F.min(F.struct("s", "g")).alias("rep"))
-    j = t.join(reps, ["b", "v"])
-    near = F.size(F.array_intersect("g", "rep.g")) >= JACCARD * F.size(F.array_union("g", "rep.g"))
-    return j.groupBy("s").agg(F.min(F.when(near, F.col("rep.s"))).alias("c"))
+    grams = F.when(n > GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.xxhash64(F.col("s").substr(i, F.lit(GRAM)))))).otherwise(F.array(F.xxhash64("s")))
+    t = cut(texts.select("s").distinct().withColumn("g", grams).withColumn("i", F.monotonically_increasing_id()))
+    each = t.select("i", F.explode("g").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    order = each.join(often, "x").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("o"))
+    rare = F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * F.lit(JACCARD) - 1e-9).cast("int") + 1)
+    keys = cut(order.select("i", F.explode(rare).alias("_o")).select("i", "_o.x", "_o.n").where("n > 1").drop("n"))
+    sizes = keys.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", F.ceil(F.col("n") / BUCKET).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("i", "x"), F.col("k")).cast("int")
+    at = keys.join(sizes, "x").withColumn("b", own)
+    others = F.when(F.col("k") == 1, F.array("b")).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("k") - 1), F.col("b")))
+    at = at.withColumn("o", F.explode(others)).select("i", "x", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+    buckets = at.join(t.select("i", "g"), "i").groupBy("x", "lo", "hi").agg(F.collect_list(F.struct("i", "g")).alias("m")).where("size(m) > 1").select("m")
+    found = components(cut(buckets.mapInPandas(_links, "i bigint, j bigint")))
+    root = t.select("i", "s").join(found, "i", "left").select("s", F.coalesce("c", "i").alias("i"))
+    return root.join(t.select("i", F.col("s").alias("c")), "i").select("s", "c")
 
 
 def refusals(rows: DataFrame) -> DataFrame:
