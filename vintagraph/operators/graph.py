@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintagraph.session import cut
+from vintagraph.session import cut, small
 
 #: Least weight of an edge in a product, decay per hop, pruning and reporting limits of propagation.
 FLOOR, DECAY, PRUNE, REPORT = 0.01, 0.9, 0.1, 0.15
@@ -44,6 +44,19 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, hops: int, first: int | Non
     return done
 
 
+def all_paths(edges: DataFrame, hops: int) -> DataFrame:
+    """src, dst, path, n, strength, sign as in ``simple_paths``, of all pairs that a path of at most ``hops`` edges joins."""
+    e = cut(edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.greatest("weight", F.lit(FLOOR)).alias("_w"), F.col("sign").alias("_g")))
+    front = e.select(F.col("_s").alias("src"), F.array("_s").alias("path"), F.lit(1.0).alias("strength"), F.lit(1).alias("sign")).distinct()
+    done = None
+    for n in range(1, hops + 1):
+        step = front.join(small(e), F.element_at("path", -1) == F.col("_s")).where(~F.array_contains("path", F.col("_d")))
+        front = cut(step.select("src", F.concat("path", F.array("_d")).alias("path"), (F.col("strength") * F.col("_w")).alias("strength"), (F.col("sign") * F.col("_g")).cast("int").alias("sign")))
+        hit = front.select("src", F.element_at("path", -1).alias("dst"), "path", F.lit(n).alias("n"), "strength", "sign")
+        done = hit if done is None else done.unionByName(hit)
+    return done
+
+
 def path_verdict(paths: DataFrame) -> DataFrame:
     """Per pair: sums of positive and negative strengths, their net, the sign beyond +-0.05, confidence and conflicts."""
     pos, neg = F.sum(F.when(F.col("sign") > 0, F.col("strength")).otherwise(0.0)), F.sum(F.when(F.col("sign") < 0, F.col("strength")).otherwise(0.0))

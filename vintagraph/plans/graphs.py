@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vintagraph.operators import graph as G
@@ -168,3 +169,75 @@ def entity_upsert(s, d):
     rows = newest.select("id", F.array("p.type").alias("labels"), F.create_map(F.lit("name"), F.col("p.name")).alias("props"))
     old = e.groupBy(key_of("id").alias("id")).agg(F.min_by("props", "created_at").alias("p")).select("id", F.array("p.type").alias("labels"), F.create_map(F.lit("name"), F.col("p.name")).alias("props"))
     return G.upsert_entities(old, rows).select("id", F.col("labels")[0].alias("label"), F.col("props")["name"].alias("name"))
+
+
+# The path and propagation queries over the relations, from every entity.
+_WALKS = _E + """, w AS (SELECT src a, dst b, [src, dst] AS path, greatest(weight, 0.01) strength, sign, 1 n FROM e WHERE src <> dst
+UNION ALL SELECT a, e.dst, list_append(path, e.dst), strength * greatest(weight, 0.01), w.sign * e.sign, n + 1 FROM w JOIN e ON e.src = w.b WHERE n < {hops} AND NOT list_contains(path, e.dst))"""
+
+
+@query(_WALKS.format(hops=4) + " SELECT a src, b dst, array_to_string(path, '>') path, n, round(strength, 8) strength, sign FROM w")
+def kg_paths(s, d):
+    return G.all_paths(edges(s, d), 4).select("src", "dst", F.array_join("path", ">").alias("path"), "n", F.round("strength", 8).alias("strength"), "sign")
+
+
+@query(_WALKS.format(hops=4) + ", q AS (SELECT a src, b dst, sum(CASE WHEN sign > 0 THEN strength ELSE 0 END) pos, sum(CASE WHEN sign < 0 THEN strength ELSE 0 END) neg, count(*) FILTER (sign > 0) np, count(*) FILTER (sign < 0) nn FROM w GROUP BY 1, 2)"
+       " SELECT src, dst, round(pos, 8) pos, round(neg, 8) neg, CASE WHEN pos + neg = 0 THEN 'unknown' WHEN pos - neg > 0.05 THEN '+' WHEN pos - neg < -0.05 THEN '-' ELSE 'neutral' END sign, round(least(1.0, abs(pos - neg) / greatest(pos + neg, 0.01)), 6) confidence, CASE WHEN np > 0 AND nn > 0 THEN nn ELSE 0 END conflicts FROM q")
+def kg_path_verdicts(s, d):
+    v = G.path_verdict(G.all_paths(edges(s, d), 4))
+    return v.select("src", "dst", F.round("pos", 8).alias("pos"), F.round("neg", 8).alias("neg"), "sign", F.round("confidence", 6).alias("confidence"), "conflicts")
+
+
+@query(_WALKS.format(hops=4) + " SELECT a src, b dst, array_to_string(path, '>') path, round(0.5 + 0.8 * strength + 0.3 * 0.5 - 0.1 * n, 6) score FROM w")
+def kg_path_scores(s, d):
+    p = G.all_paths(edges(s, d), 4)
+    return p.select("src", "dst", F.array_join("path", ">").alias("path"), F.round(0.5 + 0.8 * F.col("strength") + 0.3 * 0.5 - 0.1 * F.col("n"), 6).alias("score"))
+
+
+@query(_WALKS.format(hops=3) + " SELECT a src, b dst, count(*) n_paths, count(*) FILTER (w.sign <> e.sign) n_contrary FROM w JOIN e ON e.src = a AND e.dst = b WHERE n > 1 GROUP BY 1, 2")
+def kg_path_consistency(s, d):
+    e = edges(s, d)
+    p = G.all_paths(e, 3).where("n > 1").select("src", "dst", F.col("sign").alias("ps"))
+    j = p.join(e.select("src", "dst", "sign"), ["src", "dst"])
+    return j.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_paths"), F.count_if(F.col("ps") != F.col("sign")).alias("n_contrary"))
+
+
+@query(_E + """, w AS (SELECT src seed, dst node, [src, dst] AS path, sign * weight * 0.9 x, 1 n FROM e WHERE src <> dst AND abs(sign * weight * 0.9) >= 0.1
+UNION ALL SELECT seed, e.dst, list_append(path, e.dst), x * (e.sign * e.weight * 0.9), n + 1 FROM w JOIN e ON e.src = w.node WHERE n < 3 AND NOT list_contains(path, e.dst) AND abs(x * (e.sign * e.weight * 0.9)) >= 0.1)
+SELECT seed, node, round(sum(x), 6) effect FROM w GROUP BY 1, 2 HAVING abs(sum(x)) >= 0.15""")
+def kg_propagation(s, d):
+    e = edges(s, d)
+    return G.propagate(e, e.select(F.col("src").alias("seed"))).withColumn("effect", F.round("effect", 6))
+
+
+@query(_E + """, o AS (SELECT src seed, dst node, 1 hop, 0.5 * sign * weight impact FROM e),
+t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst, rel) r FROM e),
+u AS (SELECT * FROM o UNION ALL SELECT seed, t.dst, 2, impact * t.sign * t.weight * 0.5 FROM o JOIN t ON t.src = o.node WHERE r <= 2 AND t.dst <> seed)
+SELECT seed, node, hop, round(sum(impact), 6) impact FROM u GROUP BY 1, 2, 3""")
+def kg_two_hop_shock(s, d):
+    e = edges(s, d)
+    return G.two_hop_shock(e, e.select(F.col("src").alias("seed")).distinct().withColumn("magnitude", F.lit(0.5))).withColumn("impact", F.round("impact", 6))
+
+
+@query(_E + """, r AS (SELECT DISTINCT src seed, src node, 0 AS "level" FROM e UNION SELECT seed, e.dst, r."level" + 1 FROM r JOIN e ON e.src = r.node WHERE r."level" < 3)
+SELECT seed, node, min("level") AS "level" FROM r GROUP BY 1, 2""")
+def kg_reachability(s, d):
+    e = edges(s, d)
+    return G.reach(e, e.select(F.col("src").alias("seed")), 3)
+
+
+@query(_E + """, r AS (SELECT DISTINCT src seed, src node, 0 AS "level" FROM e UNION SELECT seed, e.dst, r."level" + 1 FROM r JOIN e ON e.src = r.node WHERE r."level" < 2),
+m AS (SELECT DISTINCT seed, node FROM r), t AS (SELECT lower(trim(id)) id, min(props.type) kind FROM entities GROUP BY 1)
+SELECT seed, kind, count(*) n FROM m LEFT JOIN t ON t.id = m.node GROUP BY 1, 2""")
+def kg_reach_by_type(s, d):
+    e = edges(s, d)
+    t = table(s, d, "entities").groupBy(key_of("id").alias("node")).agg(F.min("props.type").alias("kind"))
+    return G.reach(e, e.select(F.col("src").alias("seed")), 2).join(t, "node", "left").groupBy("seed", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_WALKS.format(hops=3) + """, kk AS (SELECT a, b, strength, sign, n, row_number() OVER (PARTITION BY a, b ORDER BY n, path, strength DESC, sign) r FROM w)
+SELECT a src, b dst, count(*) n_paths, round(sum(strength), 6) total FROM kk WHERE r <= 10 GROUP BY 1, 2""")
+def kg_scenario_paths(s, d):
+    w = Window.partitionBy("src", "dst").orderBy("n", "path", F.col("strength").desc(), "sign")
+    p = G.all_paths(edges(s, d), 3).withColumn("r", F.row_number().over(w)).where("r <= 10")
+    return p.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_paths"), F.round(F.sum("strength"), 6).alias("total"))
