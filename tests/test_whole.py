@@ -1,11 +1,13 @@
 """Queries that read the whole of a growing table, against their SQL on the smallest tables and against brute force."""
 
+import datetime as dt
 import os
 import sys
 
+import numpy as np
 import pytest
 
-from vintagraph.operators import graph
+from vintagraph.operators import blocks, folds, graph, spikes
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +41,44 @@ def test_all_paths_equal_brute_force(spark):
     got = [(tuple(r.path), round(r.strength, 9), r.sign) for r in graph.all_paths(df, 3).collect()]
     assert sorted(got) == sorted((p, round(x, 9), g) for p, x, g in want)
     assert graph.all_paths(df.limit(0), 3).count() == 0
+
+
+def burst(n, after):
+    """Times in micros: one reading far before the others, ``n`` readings in a burst, ``after`` readings days apart."""
+    last = 1_700_000_000_000_000
+    return [0, *range(last, last + n), *(last + n + i * 86_400_000_000 for i in range(1, after + 1))]
+
+
+def test_blocks_split_a_burst(spark):
+    df = spark.createDataFrame([("k", x) for x in burst(9000, 50)], "k string, t bigint")
+    b, p = blocks.with_blocks(df, "k", "t", 256, probes=df)
+    sizes = [r["count"] for r in b.groupBy("block").count().collect()]
+    assert sum(sizes) == 9051 and max(sizes) <= 3 * 256
+    assert b.exceptAll(p).count() == 0 and p.count() == 9051
+    r = b.groupBy("block").agg({"t": "min"}).orderBy("block").collect()
+    assert [x[1] for x in r] == sorted(x[1] for x in r)
+
+
+def test_context_crosses_gaps_and_small_blocks(spark):
+    at = [0] * 5 + [3] * 2 + [4] + [9] * 6  # block of each row
+    df = spark.createDataFrame([("k", i, b) for i, b in enumerate(at)], "k string, t bigint, block bigint")
+    got = {}
+    for r in blocks.with_context(df, "k", "t", 4, 3).collect():
+        got.setdefault(r.to, set()).add(r.t)
+    assert got == {0: set(range(8)), 3: set(range(1, 10)), 4: set(range(3, 11)), 9: set(range(4, 14))}
+
+
+def test_stuck_run_and_average_across_a_burst(spark):
+    rng = np.random.default_rng(5)
+    t = burst(9000, 40)
+    v = 50 + np.cumsum(rng.normal(0, 0.1, len(t)))
+    v[8995:9008] = v[8995]  # six readings of the run in the burst, seven after it
+    when = [dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=x) for x in t]
+    obs = spark.createDataFrame([(f"o{i}", "s", x, x, float(y), "ok") for i, (x, y) in enumerate(zip(when, v))], "observation_id string, series_id string, timestamp timestamp_ntz, as_of timestamp_ntz, value double, quality_flag string")
+    lim = spark.createDataFrame([("s", None, None)], "series_id string, min_possible double, max_possible double")
+    found = {r.observation_id for r in spikes.implausible(obs, lim).collect() if r.kind == "stuck"}
+    assert found == {f"o{i}" for i in range(8995, 9008)}
+    e = spark.createDataFrame([("s", x, i, float(y)) for i, (x, y) in enumerate(zip(t, v))], "k string, t bigint, id bigint, x double")
+    got = {r.id: r.score for r in folds.ema(e, "k", "t", "id", "x").collect()}
+    want, _ = folds.fold(v)
+    assert len(got) == len(t) and all(abs(got[i] - want[i]) < 1e-9 for i in range(len(t)))
