@@ -7,7 +7,7 @@ import sys
 import numpy as np
 import pytest
 
-from vintagraph.operators import blocks, folds, graph, spikes
+from vintagraph.operators import blocks, folds, graph, known, spikes
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 DATA = "/root/testdata/sf0.001"
@@ -82,3 +82,16 @@ def test_stuck_run_and_average_across_a_burst(spark):
     got = {r.id: r.score for r in folds.ema(e, "k", "t", "id", "x").collect()}
     want, _ = folds.fold(v)
     assert len(got) == len(t) and all(abs(got[i] - want[i]) < 1e-9 for i in range(len(t)))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+def test_versions_equal_sql(spark):
+    equals_sql(spark, "p1_versions")
+
+
+def test_events_without_a_version_stay(spark):
+    h = spark.createDataFrame([("a", 1, 1, "x"), ("b", 2, 9, "z")], "s string, t bigint, k bigint, p string")
+    e = spark.createDataFrame([(1, "a", 5, 5), (1, "b", 5, 5), (2, "b", 5, 9), (3, "c", 1, 1), (4, "a", 5, None)], "e int, s string, t bigint, k bigint")
+    m = known.with_payload(known.match_known(e, h, "e", "s", "t", "k"), h, "s", "t", "k", "p", every=True)
+    got = {r.e: r.attributes for r in known.pivot_known(m, "e", "s", every=True).collect()}
+    assert got == {1: {"a": "x", "b": None}, 2: {"b": "z"}, 3: {"c": None}, 4: {"a": None}}

@@ -61,8 +61,9 @@ def match_known(events: DataFrame, history: DataFrame, event: str, attribute: st
     return known_hit.select(F.col("_e").alias(event), F.col("_a").alias(attribute), *cols)
 
 
-def with_payload(matches: DataFrame, history: DataFrame, attribute: str, t: str, known: str, payload: str) -> DataFrame:
-    """Add ``known_payload``, what the known versions of ``matches`` hold; matches without a known version are left out.
+def with_payload(matches: DataFrame, history: DataFrame, attribute: str, t: str, known: str, payload: str, every: bool = False) -> DataFrame:
+    """Add ``known_payload``, what the known versions of ``matches`` hold; matches without a known version are left out, or
+    with ``every`` kept with null.
 
     Versions with equal (attribute, t, known) count as one, with the largest payload.
     """
@@ -70,7 +71,7 @@ def with_payload(matches: DataFrame, history: DataFrame, attribute: str, t: str,
     wanted = matches.where("known_t is not null")
     keys = small(cut(wanted.select(attribute, "known_t", "known_k").distinct()))
     held = h.join(keys, [attribute, "known_t", "known_k"]).groupBy(attribute, "known_t", "known_k").agg(F.max("known_payload").alias("known_payload"))
-    return wanted.join(held, [attribute, "known_t", "known_k"])
+    return (matches if every else wanted).join(held, [attribute, "known_t", "known_k"], "left" if every else "inner")
 
 
 def _climb(open_: DataFrame, blocks: DataFrame, top: int) -> DataFrame | None:
@@ -98,11 +99,11 @@ def _climb(open_: DataFrame, blocks: DataFrame, top: int) -> DataFrame | None:
     return leaf.select("_i", "_kind", _last("_v", lambda v: v["k"] <= F.col("_k")).alias("_hit"))
 
 
-def pivot_known(matches: DataFrame, event: str, attribute: str, value: str = "known_payload") -> DataFrame:
+def pivot_known(matches: DataFrame, event: str, attribute: str, value: str = "known_payload", every: bool = False) -> DataFrame:
     """The matches of an event put back side by side: ``attributes`` maps attribute to matched value.
 
-    An attribute without a version is left out of the map.
+    An attribute without a version is left out of the map, or with ``every`` mapped to null.
     """
-    pair = F.when(F.col("known_t").isNotNull() & F.col(attribute).isNotNull(), F.struct(F.col(attribute), F.col(value)))
+    pair = F.when((F.lit(every) | F.col("known_t").isNotNull()) & F.col(attribute).isNotNull(), F.struct(F.col(attribute), F.col(value)))
     return matches.groupBy(event).agg(F.map_from_entries(F.sort_array(F.collect_set(pair))).alias("attributes"))
 

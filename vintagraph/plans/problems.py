@@ -38,6 +38,15 @@ def p1_attributes(spark: SparkSession, d: str) -> DataFrame:
     return m.select("feature_value_id", F.size("attributes").alias("n_known"), F.array_join(F.array_sort(F.map_values("attributes")), ",").alias("observation_ids"))
 
 
+def p1_versions(spark: SparkSession, d: str) -> DataFrame:
+    """One row per feature value: all its input series, and beside them the version known then, null where none was."""
+    h = _history(spark, d)
+    m = match_known(_feature_events(spark, d), h, "feature_value_id", "series_id", "t", "k")
+    m = with_payload(m, h, "series_id", "t", "k", "observation_id", every=True)
+    m = pivot_known(m, "feature_value_id", "series_id", every=True)
+    return m.select("feature_value_id", F.map_keys("attributes").alias("series_ids"), F.map_values("attributes").alias("observation_ids"))
+
+
 def _refs(spark: SparkSession, d: str) -> DataFrame:
     return references(table(spark, d, "relations"), "relation_id", {"head": "head_id", "tail": "tail_id"}, "created_at", "relations")
 
@@ -69,7 +78,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible(table(spark, d, "observations"), table(spark, d, "series_metadata"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p3_found, p3_counts, p5_found, p5_grid, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p1_versions, p3_found, p3_counts, p5_found, p5_grid, p7_found)}
 
 _P1 = """
 WITH ev AS (SELECT DISTINCT v.feature_value_id, v.timestamp t, v.as_of k, s.series_id
@@ -105,6 +114,7 @@ WITH u AS (SELECT series_id, timestamp, as_of, value FROM observations
 SQL = {
     "p1_found": _P1 + "SELECT feature_value_id, a.o observation_id FROM ba WHERE a IS NOT NULL AND (a.t <> b.t OR a.k <> b.k)",
     "p1_attributes": _P1 + "SELECT feature_value_id, count(*)::INT n_known, string_agg(a.o, ',' ORDER BY a.o) observation_ids FROM ba WHERE a IS NOT NULL GROUP BY 1",
+    "p1_versions": _P1 + "SELECT feature_value_id, list(ev.series_id ORDER BY ev.series_id) series_ids, list(a.o ORDER BY ev.series_id) observation_ids FROM ev LEFT JOIN ba USING (feature_value_id, series_id) WHERE ev.feature_value_id IS NOT NULL GROUP BY 1",
     "p3_found": _P3 + "SELECT relation_id, endpoint, reason FROM bad",
     "p3_counts": _P3 + ", t AS (SELECT endpoint, strftime(created_at, '%Y-%m') AS month, count(*) n_refs FROM r GROUP BY 1, 2), "
     "b AS (SELECT endpoint, strftime(created_at, '%Y-%m') AS month, reason, count(*) n_orphans FROM bad GROUP BY 1, 2, 3) "
