@@ -95,3 +95,9 @@ def test_events_without_a_version_stay(spark):
     m = known.with_payload(known.match_known(e, h, "e", "s", "t", "k"), h, "s", "t", "k", "p", every=True)
     got = {r.e: r.attributes for r in known.pivot_known(m, "e", "s", every=True).collect()}
     assert got == {1: {"a": "x", "b": None}, 2: {"b": "z"}, 3: {"c": None}, 4: {"a": None}}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["asof_latest_newest", "last_value_newest", "feature_latest_values_newest", "snapshot_newest", "live_replay_newest", "affected_features_newest", "replay_all_steps"])
+def test_newest_query_equals_sql(spark, name):
+    equals_sql(spark, name)
