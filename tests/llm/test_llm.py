@@ -161,6 +161,27 @@ def test_defects(spark):
     assert answers.defects(df.limit(0), "qa_id", "question", ["expected"]).count() == 0
 
 
+def test_templates_refuse_without_phrases(spark, monkeypatch):
+    r = random.Random(9)
+    asked = [("What is the limit for {} at {}?", "The limit for {} at {} is {} NTU."), ("How often is {} checked at {}?", "At {1} the {0} is checked every {2} days."), ("Which section rules {} near {}?", "Section {2} rules the {0} near {1}."), ("Does {} matter at {}?", "Yes, {} at {} matters for {} sites.")]
+    things, places = ["turbidity", "chlorine", "sludge volume", "inflow rate"], ["Pellam", "Dunnow Reach", "Fennick", "Wyncote"]
+    heads, bodies = ["", "Well now, ", "Let me see, ", "By my lights "], ["this goes past what was handed over to me", "the papers hold no word about such matters"]
+    rows, want = [], set()
+    for i in range(400):
+        q, a = r.choice(asked)
+        x, y = r.choice(things), r.choice(places)
+        odd = i % 5 == 0
+        rows.append((i, q.format(x, y), r.choice(heads) + r.choice(bodies) + "." if odd else a.format(x, y, i) + (" Details are in the files." if i % 3 == 0 else "")))
+        want |= {i} if odd else set()
+    rows.append((900, "How often is inflow rate checked at Pellam?", "Let me see, the papers hold no word about such matters. Details are in the files."))
+    df = spark.createDataFrame(rows, "id bigint, question string, a string")
+    cut = answers.long_form(df, "id", "question", ["a"])
+    found = lambda: {x.id for x in answers.refusals(cut, []).collect()}
+    assert found() == {*want, 900}
+    monkeypatch.setattr(answers, "FRAMES", 10**6)  # no cluster is ever free of its prompt
+    assert found() == set()
+
+
 def test_clusters_are_verified(spark):
     base = "this answer is not available in the given documents at the moment"
     t = spark.createDataFrame([(base,), (base + "!",), ("something else entirely about pumps and valves",), ("a",)], "s string")

@@ -3,10 +3,12 @@
 Each answer gets at most one defect, by these checks in order: empty, copy of the question, other language than the
 question, refusal, truncated.
 
-Refusals: the sentences of all answers are masked and clustered: components of the links of Jaccard at least 0.8
-(character 5-grams), all of them found by prefix filtering. A cluster that recurs under unrelated prompts (several question frames) is independent of the prompt; one
-whose answers say nothing else, or that declines in so many words, is a refusal. An answer is one if it has such a
-sentence and none that depends on its prompt.
+Refusals: sentences that don't repeat their own prompt are masked and clustered: components of the links of Jaccard
+at least 0.8 (character 5-grams), all of them found by prefix filtering. A cluster that recurs under several question
+frames is free of the prompt; one whose answers hold nothing that depends on the prompt is a template that refuses. Its
+word pairs teach how refusals are put together, so that an opening in a rare combination is known too. An answer
+refuses if nothing in it depends on its prompt and it has a sentence of a template, or one made of their pairs. Where too
+few answers recur to tell, phrases that decline stand in.
 
 Truncation: how the corpus itself begins and ends its sentences. An unterminated answer breaks off only if finished
 sentences begin as its last one does (a short answer in note form does not). For the last words of an unterminated answer it is counted how
@@ -37,25 +39,24 @@ WORDS = {
     "fr": "le la les des du de un une est et pour dans en au aux que qui sur par avec tous toutes puis doit être avant après il se on a ce cette".split(),
     "de": "der die das den dem des und ist sind mit für ein eine nach durch um wurden wird werden im in alle zu auf von danach gilt nicht spätestens am bei".split(),
 }
-#: Phrases that decline (case disregarded), in Korean and English.
+#: Phrases that decline in general terms (case disregarded), in English and Korean.
 DECLINES = [
     r"^(?:i'?m sorry|i am sorry|sorry|regrettably|unfortunately|as an (?:ai|assistant)\b)",
     r"\bi (?:can'?t|cannot|can not|am unable|am not able|must decline|have to decline|won'?t|don'?t have (?:enough|sufficient))\b",
-    r"\bno answer can be (?:offered|given)\b",
     r"\bnothing in the (?:provided|given|supplied) (?:documents?|context|sources?)\b",
-    r"\blies outside what i can\b",
-    r"^(?:죄송합니다|죄송하지만|죄송하나|안타깝게도|유감스럽게도|ai 도우미로서)",
-    r"답변을? ?(?:을|를)? ?드릴 수 없습니다",
-    r"(?:찾지|확인하지) 못했습니다",
+    r"^(?:죄송|안타깝게도|유감스럽게도|ai (?:도우미|모델|어시스턴트))",
+    r"답변을? ?(?:을|를)? ?드릴 수 없",
+    r"(?:찾지|확인하지|알지) 못(?:했|합)",
     r"(?:응답|답변)을 (?:보류|거절|사양)",
-    r"(?:정보|근거|자료)가 부족합니다",
-    r"범위를 벗어납니다",
-    r"도와드리기 어렵습니다|말씀드리기 어렵습니다|답변드리기 어렵습니다",
-    r"말씀드리지 않는 것이 원칙",
+    r"(?:정보|근거|자료)가 (?:부족|없)",
+    r"(?:드리기|하기) 어렵습니다",
 ]
 #: Question frames under which a sentence recurs if it is independent of the prompt; occurrences, and the share of
 #: answers that say nothing else, from which such a sentence refuses.
 FRAMES, OFTEN, ALONE = 3, 5, 0.8
+#: Share of a sentence's character 4-grams in its question from which it depends on the prompt, and share of a
+#: sentence's word pairs from which it is made of templates.
+ECHO, MADE = 0.25, 0.8
 JACCARD, GRAM = 0.8, 5
 #: Texts of a bucket, or of half a pair of blocks, that are compared in one go.
 BUCKET = 1000
@@ -76,8 +77,9 @@ def _count(c: Column, pattern: str) -> Column:
 
 
 def long_form(pairs: DataFrame, id_: str, question: str, fields: list[str]) -> DataFrame:
-    """id, field, q, a: one row per answer; repeated ids count once, rows without an id don't."""
-    p = pairs.where(F.col(id_).isNotNull()).dropDuplicates([id_])
+    """id, field, q, a: one row per answer; repeated ids count once (the greatest texts), rows without an id don't."""
+    texts = F.max(F.struct(question, *[f for f in fields if f != question])).alias("_t")
+    p = pairs.where(F.col(id_).isNotNull()).groupBy(id_).agg(texts).select(id_, "_t.*")
     answers = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tidy(F.col(f)).alias("a")) for f in fields])).alias("_x")
     return p.select(F.col(id_).alias("id"), tidy(F.col(question)).alias("q"), answers).select("id", "q", "_x.field", "_x.a")
 
@@ -109,14 +111,25 @@ def simple_defects(rows: DataFrame) -> DataFrame:
     return rows.withColumn("defect", kind)
 
 
+def _grams4(c: Column) -> Column:
+    n = F.length(c)
+    return F.when(n > 4, F.transform(F.sequence(F.lit(1), n - 3), lambda i: c.substr(i, F.lit(4)))).otherwise(F.array(c))
+
+
 def sentences(rows: DataFrame) -> DataFrame:
-    """id, field, frame, s (masked sentence), last: one row per sentence of each answer."""
+    """id, field, frame, s (masked sentence), echo: one row per sentence of each answer.
+
+    ``echo``: the sentence repeats its question, by the share of its character 4-grams (letters and digits) found there.
+    """
     hangul = F.col("q").rlike(r"[\x{AC00}-\x{D7A3}]")
     w = F.split(F.regexp_replace(F.lower("q"), r"\d+", "#"), " ")
     frame = F.when(hangul, F.element_at(w, -1)).otherwise(F.concat_ws(" ", F.slice(w, 1, 2)))
     s = F.lower(F.regexp_replace(F.col("a"), r"\d+(?:[.,]\d+)*", "#"))
     parts = F.transform(F.split(s, r"(?<=[.!?。])\s+"), lambda x: F.rtrim(F.regexp_replace(x, r"[.!?。]+$", "")))
-    return rows.select("id", "field", frame.alias("frame"), F.explode(parts).alias("s")).where("s <> ''")
+    each = rows.select("id", "field", frame.alias("frame"), bare(F.regexp_replace("q", r"\d+", "")).alias("_q"), F.explode(parts).alias("s")).where("s <> ''")
+    g = _grams4(bare(F.col("s")))
+    share = F.size(F.filter(g, lambda x: F.contains(F.col("_q"), x))) / F.size(g)
+    return each.withColumn("echo", (F.length(bare(F.col("s"))) > 4) & (share >= ECHO)).drop("_q")
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,21 +196,38 @@ def clusters(texts: DataFrame) -> DataFrame:
     return root.join(t.select("i", F.col("s").alias("c")), "i").select("s", "c")
 
 
-def refusals(rows: DataFrame) -> DataFrame:
-    """id, field of the refusing answers among ``rows``."""
-    s = cut(sentences(rows))
-    distinct = s.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    member = cut(clusters(distinct))
-    sc = s.join(small(member), "s")
+def word_pairs(s: Column) -> Column:
+    """The pairs of successive words of a sentence, its start and end included."""
+    w = F.concat(F.array(F.lit("^")), F.split(s, " "), F.array(F.lit("$")))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i))))
+
+
+def refusals(rows: DataFrame, declines: list[str] | None = None) -> DataFrame:
+    """id, field of the refusing answers among ``rows``; ``declines``: phrases beside the clusters (default DECLINES)."""
+    phrases = DECLINES if declines is None else declines
+    says = reduce(lambda a, b: a | b, [F.col("s").rlike(r) for r in phrases], F.lit(False))
+    s = cut(sentences(rows).withColumn("declines", says & ~F.col("echo")))
+    apart = s.where("not echo")
+    member = cut(clusters(apart))
+    sc = cut(apart.join(small(member), "s"))
     frames = sc.groupBy("c", "frame").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.count(F.lit(1)).alias("frames"), F.sum("n").alias("n"))
-    free = small(cut(frames.where(F.col("frames") >= FRAMES).select("c", "n")))
-    says = reduce(lambda a, b: a | b, [F.col("s").rlike(r) for r in DECLINES])
-    tagged = sc.join(free, "c", "left").withColumn("free", F.col("n").isNotNull()).withColumn("declines", says)
-    per = tagged.groupBy("id", "field").agg(F.max(~F.col("free") & ~F.col("declines")).alias("bound"), F.max("declines").alias("declines"))
+    free = small(cut(frames.where(F.col("frames") >= FRAMES).select("c")))
+    tagged = sc.join(free.withColumn("free", F.lit(True)), "c", "left").withColumn("free", F.coalesce("free", F.lit(False)))
+    echoes = s.where("echo").select("id", "field").distinct().withColumn("bound", F.lit(True))
     # a cluster whose answers nearly always hold nothing that depends on the prompt refuses, whatever its words
-    alone = tagged.where("free").join(per, ["id", "field"]).groupBy("c").agg(F.avg((~F.col("bound")).cast("int")).alias("alone"), F.count(F.lit(1)).alias("n")).where((F.col("alone") >= ALONE) & (F.col("n") >= OFTEN))
-    by_use = tagged.join(small(cut(alone.select("c"))), "c", "left_semi").select("id", "field").distinct().withColumn("used", F.lit(True))
-    return per.join(by_use, ["id", "field"], "left").where(~F.col("bound") & (F.col("declines") | F.col("used"))).select("id", "field")
+    per = tagged.groupBy("id", "field").agg(F.max(~F.col("free") & ~F.col("declines")).alias("_b")).join(echoes, ["id", "field"], "left")
+    per = per.select("id", "field", (F.col("_b") | F.coalesce("bound", F.lit(False))).alias("bound"))
+    alone = tagged.where("free").join(per, ["id", "field"]).groupBy("c").agg(F.avg((~F.col("bound")).cast("int")).alias("alone"), F.count(F.lit(1)).alias("n"))
+    templates = small(cut(alone.where((F.col("alone") >= ALONE) & (F.col("n") >= OFTEN)).select("c", F.lit(True).alias("template"))))
+    # sentences in rare combinations, by the pairs of the templates
+    known = member.join(templates, "c").select(F.explode(word_pairs(F.col("s"))).alias("x")).distinct()
+    rare = tagged.where("not free").select("s").distinct().withColumn("_p", word_pairs(F.col("s")))
+    rare = rare.select("s", F.size("_p").alias("n"), F.explode("_p").alias("x")).join(small(cut(known)), "x", "left_semi").groupBy("s", "n").agg(F.count(F.lit(1)).alias("k"))
+    made = rare.where(F.col("k") >= MADE * F.col("n")).select("s", F.lit(True).alias("made"))
+    judged = tagged.join(small(cut(made)), "s", "left").join(templates, "c", "left")
+    refuses = F.coalesce("template", "made", F.lit(False)) | F.col("declines")
+    verdict = judged.groupBy("id", "field").agg(F.max(refuses).alias("refuses"), F.max(~F.col("free") & ~refuses).alias("bound"))
+    return verdict.where("refuses and not bound").select("id", "field").join(echoes, ["id", "field"], "left_anti")
 
 
 #: Words of an unterminated sentence up to which it is compared as a whole with how finished ones begin.
@@ -207,6 +237,11 @@ _ENDED = r"[.!?。！？][\"'”’)\]]*$"
 _OPEN = r"[,;:·、/(\[{~\-–—]$|…$|\.\.\.$"
 
 
+def _lengths(rows: DataFrame, column: str) -> list[int]:
+    """The lengths that the texts of a column have: as many numbers as the longest has characters, at most."""
+    return sorted(r[0] for r in rows.select(F.length(column)).distinct().collect())
+
+
 def truncated(rows: DataFrame) -> DataFrame:
     """id, field of the answers among ``rows`` that break off inside a sentence."""
     masked = F.regexp_replace(F.col("a"), r"\d+(?:[.,]\d+)*", "#")
@@ -221,11 +256,12 @@ def truncated(rows: DataFrame) -> DataFrame:
     stats = words.groupBy("p2", "p1", "x").agg(F.count_if("stop").alias("t"), F.count_if(F.col("last") & ~F.col("stop")).alias("u"), F.count_if(~F.col("last") & ~F.col("stop")).alias("c"))
     stats = cut(stats)
     wanted = tails.select("p2", "p1", "x").distinct()
+    lengths = _lengths(wanted, "x")
 
     def evidence(context: list[str]) -> DataFrame:
         keys = [*context, "x"]
         own = stats.groupBy(*keys).agg(F.sum("t").alias("t"), F.sum("u").alias("u"), F.sum("c").alias("c"))
-        grown = own.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.length("x") - 1, F.lit(40))))).where("length(x) > 1").select(*context, F.col("x").substr(F.lit(1), F.col("l")).alias("x"), (F.col("t") + F.col("u") + F.col("c")).alias("g"))
+        grown = own.withColumn("l", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n < F.length("x")))).select(*context, F.col("x").substr(F.lit(1), F.col("l")).alias("x"), (F.col("t") + F.col("u") + F.col("c")).alias("g"))
         grown = grown.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.sum("g").alias("g"))
         return own.join(wanted.select(*keys).distinct(), keys, "left_semi").join(grown, keys, "left").withColumn("on", F.col("c") + F.coalesce("g", F.lit(0))).drop("c", "g")
 
@@ -257,14 +293,15 @@ def openings(rows: DataFrame) -> DataFrame:
     the first word must begin one.
     """
     done = rows.select("ended", F.posexplode("parts").alias("i", "s"), F.size("parts").alias("n")).where(F.col("ended") | (F.col("i") < F.col("n") - 1))
-    first = F.substring_index(F.col("s"), " ", SHORT + 1)
-    head = done.select(first.alias("o")).distinct()
-    grown = head.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.length("o"), F.lit(120))))).where(F.col("l") < F.length("o")).select(F.col("o").substr(F.lit(1), F.col("l")).alias("k"), F.col("o").substr(F.col("l") + 1, F.lit(1)).alias("next"))
-    grown = grown.where(~F.endswith("k", F.lit("#")) | (F.col("next") == " ")).select("k").distinct().withColumn("grows", F.lit(True))
-    words = done.select(F.substring_index("s", " ", 1).alias("k")).distinct().withColumn("starts", F.lit(True))
     last = rows.where("not ended").select("id", "field", F.element_at("parts", -1).alias("s"))
     last = last.withColumn("short", F.size(F.split("s", " ")) <= SHORT).withColumn("k", F.when(F.col("short"), F.regexp_replace("s", r"[,;:…]+$", "")).otherwise(F.substring_index("s", " ", 1)))
     keys = cut(last.select("k").distinct())
+    # a short last sentence has at most SHORT words, so what follows them decides nothing
+    head = done.select(F.substring_index(F.col("s"), " ", SHORT + 1).alias("o")).distinct()
+    lengths = F.lit(_lengths(keys, "k")).cast("array<int>")
+    grown = head.withColumn("l", F.explode(F.filter(lengths, lambda n: n < F.length("o")))).select(F.col("o").substr(F.lit(1), F.col("l")).alias("k"), F.col("o").substr(F.col("l") + 1, F.lit(1)).alias("next"))
+    grown = grown.where(~F.endswith("k", F.lit("#")) | (F.col("next") == " ")).select("k").distinct().withColumn("grows", F.lit(True))
+    words = done.select(F.substring_index("s", " ", 1).alias("k")).distinct().withColumn("starts", F.lit(True))
     known = keys.join(grown, "k", "left").join(words, "k", "left")
     return last.join(small(cut(known)), "k").select("id", "field", "short", F.coalesce(F.when(F.col("short"), F.col("grows")).otherwise(F.col("starts")), F.lit(False)).alias("begins"))
 
