@@ -34,8 +34,8 @@ LEARNED, BESIDE, DUMMY, DUMMY_WORDS = 3, 0.8, 0.8, 4
 _NAME = r"[A-Za-z가-힣_][A-Za-z0-9가-힣_.#\-]*(?: [가-힣A-Za-z_][A-Za-z0-9가-힣_.#\-]*)?"
 #: A name as code writes it: no second word in Latin letters (a<b and b>c is no placeholder).
 _ONE = r"(?:[A-Za-z_][A-Za-z0-9_#]*(?:[.\-][A-Za-z0-9_#]+)*|[가-힣]+(?: [가-힣]+)?)"
-#: HTML elements are markup, not placeholders; so are the masks of addresses and dates.
-_HTML = r"(?:a|b|i|p|br|hr|li|ul|ol|td|tr|th|em|h[1-6#]|div|img|pre|sub|sup|span|code|body|head|html|link|meta|main|form|table|tbody|thead|title|style|strong|script|noscript|section|URL|MAIL|DATE)"
+#: HTML elements are markup, not placeholders.
+_HTML = r"(?:a|b|i|p|br|hr|li|ul|ol|td|tr|th|em|h[1-6#]|div|img|pre|sub|sup|span|code|body|head|html|link|meta|main|form|table|tbody|thead|title|style|strong|script|noscript|section)"
 _ASKED = r"(?:입력|기입|작성|삽입|기재)"
 #: Placeholders: forms that only template languages have, and forms that ordinary text may use.
 STRICT = [
@@ -113,8 +113,11 @@ SCRIPTS = [
     r"^(?:이 [가-힣]+(?:를|을) .*|브라우저에서 )?(?:자바)?스크립트(?:가|를| 실행이) .*(?:설정|허용|켜|차단|꺼져|비활성)",
 ]
 RULES = {"filler": FILLER, "error": ERRORS, "scripts": SCRIPTS}
-#: Header and footer parts that stand before a message on the same line.
-_LEAD = r"^(?:(?:[-*•>#]+|#\))\s+)+"
+#: What ends a message: a sentence or line, with the marks of lists that may follow. Blanks are collapsed before.
+_END = r"(?:(?<=[.!?。])\s+|[\n\r\x0b\x0c][\s]*)(?:(?:[-*•>#]+|#\)) +)*"
+#: Blanks that count as a space, and characters that don't count.
+_BLANK = "\t\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_VOID = "".join(chr(c) for c in [*range(9), *range(14, 32), 127, 0x200B, 0x200C, 0x200D, 0xFEFF])
 
 
 def _any(col: Column, rules: list[str]) -> Column:
@@ -124,30 +127,31 @@ def _any(col: Column, rules: list[str]) -> Column:
 
 
 def masked(text: Column) -> Column:
-    """A text without what varies: addresses, mail, dates and numbers (#)."""
-    m = F.regexp_replace(text, r"https?://\S+|www\.\S+", "<URL>")
-    m = F.regexp_replace(m, r"[\w.+\-]+@[\w\-]+\.[\w.\-]+", "<MAIL>")
-    m = F.regexp_replace(m, r"\d{1,4}[-./]\d{1,2}[-./]\d{1,4}|\d{1,4}년 ?\d{1,2}월(?: ?\d{1,2}일)?", "<DATE>")
-    return F.regexp_replace(m, r"\d+(?:[.,]\d+)*", "#")
+    """A text without what varies: addresses, mail, dates and numbers (all #)."""
+    return F.regexp_replace(text, r"https?://\S+|www\.\S+|[\w.+\-]+@[\w\-]+\.[\w.\-]+|\d+(?:[.,\-/]\d+)*", "#")
 
 
 def messages(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """_doc, _src, message (masked), k (messages of the document), edge (first or last), h, copy (hash of the document's
-    messages, of its id if it has but one): the distinct lines and sentences of each document, blanks collapsed, control characters out. Messages of
-    one character are left out."""
-    clean = masked(F.regexp_replace(text, r"[\x00-\x08\x0e-\x1f\x7f​‌‍﻿]", ""))
-    parts = F.split(clean, r"(?<=[.!?。])\s+|[\n\r\x0b\x0c]+")
-    tidy = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(?U)\s+", " "), _LEAD, "")))
-    kept = F.filter(F.array_distinct(tidy), lambda p: F.length(p) > 1)
-    rows = spread(docs.select(doc_id, text, source).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())).select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(source), F.lit("")).alias("_src"), kept.alias("_m"))
-    each = rows.select("_doc", "_src", F.size("_m").alias("k"), F.when(F.size("_m") == 1, F.xxhash64("_doc")).otherwise(F.xxhash64("_m")).alias("copy"), F.posexplode("_m").alias("i", "message"))
-    return each.select("_doc", "_src", "k", "copy", ((F.col("i") == 0) | (F.col("i") == F.col("k") - 1)).alias("edge"), "message", F.xxhash64(F.lower("message")).alias("h"))
+    """_doc, _src, message (masked), k (messages of the document), edge (first or last), copy (hash of the document's
+    messages, of its id if it has but one): the distinct lines and sentences of each document, blanks collapsed, control
+    characters out. Messages of one character are left out."""
+    rows = spread(docs.select(doc_id, text, source).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()))
+    clean = F.regexp_replace(masked(F.translate(text, _BLANK + _VOID, " " * len(_BLANK))), " {2,}", " ")
+    parts = F.array_distinct(F.split(F.concat(F.lit("\n"), F.trim(clean)), _END))
+    rows = rows.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(source), F.lit("")).alias("_src"), parts.alias("_m"))
+    n = F.size("_m") - 1  # the first part is empty
+    each = rows.select("_doc", "_src", n.alias("k"), F.when(n == 1, F.xxhash64("_doc")).otherwise(F.xxhash64("_m")).alias("copy"), F.posexplode("_m").alias("i", "message"))
+    return each.where("length(message) > 1").select("_doc", "_src", "k", "copy", ((F.col("i") == 1) | (F.col("i") == F.col("k"))).alias("edge"), "message")
 
 
 def groups(m: DataFrame) -> DataFrame:
-    """h, n_docs, n_sources, n_short (documents that hold little else), edge, example of every masked message."""
-    per = m.groupBy("h", "_src").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") <= SHORT).alias("s"), F.max("edge").alias("edge"), F.min("message").alias("example"))
-    return per.groupBy("h").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sources"), F.sum("s").alias("n_short"), F.max("edge").alias("edge"), F.min("example").alias("example"))
+    """h, n_docs, n_sources, n_short (documents that hold little else), edge, example of every masked message.
+
+    ``n_sources`` is a lower bound: the sources fall into 64 cells, of which those in use are counted.
+    """
+    cell = F.expr("shiftleft(1L, cast(pmod(xxhash64(_src), 64) as int))")
+    g = m.groupBy(F.col("message").alias("example")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("k") <= SHORT).alias("n_short"), F.max("edge").alias("edge"), F.bit_count(F.bit_or(cell)).cast("bigint").alias("n_sources"))
+    return g.select(F.xxhash64("example").alias("h"), "*")
 
 
 def phrase_kind(message: Column, rules: dict[str, list[str]] | None = None) -> Column:
@@ -198,7 +202,7 @@ def judged(g: DataFrame, rules: dict[str, list[str]] | None = None) -> DataFrame
     open_ = g.join(small(whole.select("h")), "h", "left_anti")
     ends = whole.where("words >= 2").select(F.col("h").alias("t"), "kind")
     lengths = [r[0] for r in whole.where("words >= 2").select("words").distinct().collect()]  # lengths, not messages
-    w = open_.where("example like '% %'").select("h", F.split(F.lower("example"), " ").alias("w"))
+    w = open_.where("example like '% %'").select("h", F.split("example", " ").alias("w"))
     w = w.select("h", "w", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n < F.size("w"))).alias("n"))
     tails = w.select("h", F.xxhash64(F.array_join(F.slice("w", -F.col("n"), F.col("n")), " ")).alias("t"))
     broken = tails.join(small(ends), "t").select("h", "kind")
@@ -213,7 +217,7 @@ def residue(docs: DataFrame, doc_id: str, text: str, source: str, rules: dict[st
     read twice, once to form the groups and once to find their documents; only hashes travel the second time.
     """
     found = cut(judged(cut(groups(messages(docs, doc_id, text, source))), rules))
-    hit = cut(messages(docs, doc_id, text, source).select("_doc", "_src", "h", "k", "copy").join(small(found), "h"))
+    hit = cut(messages(docs, doc_id, text, source).select("_doc", "_src", F.xxhash64("message").alias("h"), "k", "copy").join(small(found), "h"))
     # copies of one document are no use by several: judged again over different texts
     per = hit.where("used").groupBy("h", "copy", "_src").agg(F.max("k").alias("k")).groupBy("h", "copy").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("s"))
     per = per.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("k") <= SHORT).alias("n_short"), F.max("s").alias("s"))
@@ -223,7 +227,9 @@ def residue(docs: DataFrame, doc_id: str, text: str, source: str, rules: dict[st
 
 
 def recurring(docs: DataFrame, doc_id: str, text: str, source: str, sources: int = 5) -> DataFrame:
-    """Messages by hash that recur in at least ``sources`` sources: example, n_docs, n_sources, kinds (null: no residue)."""
-    g = cut(groups(messages(docs, doc_id, text, source)))
-    kinds = judged(g).groupBy("h").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    return g.where(F.col("n_sources") >= sources).join(kinds, "h", "left").select("example", "n_docs", "n_sources", "kinds")
+    """Masked messages that recur in at least ``sources`` sources: example, n_docs, n_sources, kinds (null: no residue)."""
+    m = messages(docs, doc_id, text, source)
+    kinds = judged(cut(groups(m))).groupBy("h").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    per = m.groupBy("message", "_src").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("message").alias("example")).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sources"))
+    wide = per.where(F.col("n_sources") >= sources).withColumn("h", F.xxhash64("example"))
+    return wide.join(kinds, "h", "left").select("example", "n_docs", "n_sources", "kinds")
