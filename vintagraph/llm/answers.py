@@ -80,7 +80,7 @@ def long_form(pairs: DataFrame, id_: str, question: str, fields: list[str]) -> D
     """id, field, q, a: one row per answer; repeated ids count once (the greatest texts), rows without an id don't."""
     texts = F.max(F.struct(question, *[f for f in fields if f != question])).alias("_t")
     p = pairs.where(F.col(id_).isNotNull()).groupBy(id_).agg(texts).select(id_, "_t.*")
-    answers = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tidy(F.col(f)).alias("a")) for f in fields])).alias("_x")
+    answers = F.explode_outer(F.array(*[F.struct(F.lit(f).alias("field"), tidy(F.col(f)).alias("a")) for f in fields])).alias("_x")
     return p.select(F.col(id_).alias("id"), tidy(F.col(question)).alias("q"), answers).select("id", "q", "_x.field", "_x.a")
 
 
@@ -112,8 +112,8 @@ def simple_defects(rows: DataFrame) -> DataFrame:
 
 
 def _grams4(c: Column) -> Column:
-    n = F.length(c)
-    return F.when(n > 4, F.transform(F.sequence(F.lit(1), n - 3), lambda i: c.substr(i, F.lit(4)))).otherwise(F.array(c))
+    """All runs of four characters; a shorter text is its own."""
+    return F.when(F.length(c) > 4, F.regexp_extract_all(c, F.lit("(?=(.{4}))"), F.lit(1))).otherwise(F.array(c))
 
 
 def sentences(rows: DataFrame) -> DataFrame:
@@ -126,10 +126,11 @@ def sentences(rows: DataFrame) -> DataFrame:
     frame = F.when(hangul, F.element_at(w, -1)).otherwise(F.concat_ws(" ", F.slice(w, 1, 2)))
     s = F.lower(F.regexp_replace(F.col("a"), r"\d+(?:[.,]\d+)*", "#"))
     parts = F.transform(F.split(s, r"(?<=[.!?。])\s+"), lambda x: F.rtrim(F.regexp_replace(x, r"[.!?。]+$", "")))
-    each = rows.select("id", "field", frame.alias("frame"), bare(F.regexp_replace("q", r"\d+", "")).alias("_q"), F.explode(parts).alias("s")).where("s <> ''")
-    g = _grams4(bare(F.col("s")))
-    share = F.size(F.filter(g, lambda x: F.contains(F.col("_q"), x))) / F.size(g)
-    return each.withColumn("echo", (F.length(bare(F.col("s"))) > 4) & (share >= ECHO)).drop("_q")
+    asked = _grams4(bare(F.regexp_replace("q", r"\d+", "")))
+    each = rows.select("id", "field", frame.alias("frame"), asked.alias("_q"), parts.alias("_s")).select("*", F.explode_outer("_s").alias("s")).where("s <> ''")
+    own = _grams4(bare(F.col("s")))
+    share = F.size(F.array_intersect(own, F.col("_q"))) / F.size(F.array_distinct(own))
+    return each.select("id", "field", "frame", "s", ((F.length(bare(F.col("s"))) > 4) & (share >= ECHO)).alias("echo"))
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,7 +181,7 @@ def clusters(texts: DataFrame) -> DataFrame:
     n = F.length("s")
     grams = F.when(n > GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.xxhash64(F.col("s").substr(i, F.lit(GRAM)))))).otherwise(F.array(F.xxhash64("s")))
     t = cut(texts.select("s").distinct().withColumn("g", grams).withColumn("i", F.monotonically_increasing_id()))
-    each = t.select("i", F.explode("g").alias("x"))
+    each = t.select("i", F.explode_outer("g").alias("x"))
     often = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     order = each.join(often, "x").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("o"))
     rare = F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * F.lit(JACCARD) - 1e-9).cast("int") + 1)
@@ -198,8 +199,8 @@ def clusters(texts: DataFrame) -> DataFrame:
 
 def word_pairs(s: Column) -> Column:
     """The pairs of successive words of a sentence, its start and end included."""
-    w = F.concat(F.array(F.lit("^")), F.split(s, " "), F.array(F.lit("$")))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i))))
+    w = F.split(s, " ")
+    return F.array_distinct(F.zip_with(F.concat(F.array(F.lit("^")), w), F.concat(w, F.array(F.lit("$"))), lambda a, b: F.xxhash64(a, b)))
 
 
 def refusals(rows: DataFrame, declines: list[str] | None = None) -> DataFrame:
@@ -292,7 +293,7 @@ def openings(rows: DataFrame) -> DataFrame:
     A short last sentence must be a proper beginning of a finished one (a number at its end is whole); of a longer one
     the first word must begin one.
     """
-    done = rows.select("ended", F.posexplode("parts").alias("i", "s"), F.size("parts").alias("n")).where(F.col("ended") | (F.col("i") < F.col("n") - 1))
+    done = rows.select("ended", F.posexplode_outer("parts").alias("i", "s"), F.size("parts").alias("n")).where(F.col("ended") | (F.col("i") < F.col("n") - 1))
     last = rows.where("not ended").select("id", "field", F.element_at("parts", -1).alias("s"))
     last = last.withColumn("short", F.size(F.split("s", " ")) <= SHORT).withColumn("k", F.when(F.col("short"), F.regexp_replace("s", r"[,;:…]+$", "")).otherwise(F.substring_index("s", " ", 1)))
     keys = cut(last.select("k").distinct())

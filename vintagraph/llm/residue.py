@@ -140,7 +140,7 @@ def messages(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     parts = F.array_distinct(F.split(F.concat(F.lit("\n"), F.trim(clean)), _END))
     rows = rows.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(source), F.lit("")).alias("_src"), parts.alias("_m"))
     n = F.size("_m") - 1  # the first part is empty
-    each = rows.select("_doc", "_src", n.alias("k"), F.when(n == 1, F.xxhash64("_doc")).otherwise(F.xxhash64("_m")).alias("copy"), F.posexplode("_m").alias("i", "message"))
+    each = rows.select("_doc", "_src", n.alias("k"), F.when(n == 1, F.xxhash64("_doc")).otherwise(F.xxhash64("_m")).alias("copy"), F.posexplode_outer("_m").alias("i", "message"))  # the inner form would cut the texts twice, once for its own filter
     return each.where("length(message) > 1").select("_doc", "_src", "k", "copy", ((F.col("i") == 1) | (F.col("i") == F.col("k"))).alias("edge"), "message")
 
 
@@ -174,7 +174,7 @@ def placeholders(g: DataFrame) -> DataFrame:
     """
     marked = g.where(F.col("example").rlike(_MARK))
     forms = [F.when(F.col("example").rlike(r), F.struct(F.lit(i).alias("form"), F.lit(i < len(STRICT)).alias("strict"))) for i, r in enumerate([*STRICT, *LOOSE])]
-    hit = marked.select("h", "n_sources", F.explode(F.filter(F.array(*forms), lambda x: x.isNotNull())).alias("f")).select("h", "n_sources", "f.*")
+    hit = marked.select("h", "n_sources", F.explode_outer(F.array_compact(F.array(*forms))).alias("f")).where("f is not null").select("h", "n_sources", "f.*")
     recurs = hit.groupBy("form").agg(F.sum("n_sources").alias("_s")).where(F.col("_s") >= SOURCES).select("form")
     return hit.where("strict").select("h").unionByName(hit.where("not strict").join(F.broadcast(recurs), "form", "left_semi").select("h")).distinct()  # as many forms as there are rules
 
@@ -183,7 +183,7 @@ def dummy_text(g: DataFrame) -> DataFrame:
     """h of the groups of dummy Latin: words that stand nearly always beside words of the standard passage."""
     w = g.select("h", F.array_distinct(F.regexp_extract_all(F.lower("example"), F.lit(r"[\p{L}#]+"), F.lit(0))).alias("w"))
     seeded = F.size(F.array_intersect("w", F.array(*[F.lit(x) for x in PASSAGE]))) > 0
-    each = w.select("h", F.size("w").alias("n"), seeded.alias("seeded"), F.explode("w").alias("x"))
+    each = w.select("h", F.size("w").alias("n"), seeded.alias("seeded"), F.explode_outer("w").alias("x")).where("x is not null")
     known = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("seeded").cast("int")).alias("share")).where((F.col("n") >= LEARNED) & (F.col("share") >= BESIDE) | F.col("x").isin(PASSAGE)).select("x")
     hits = each.join(small(cut(known)), "x", "left_semi").groupBy("h", "n").agg(F.count(F.lit(1)).alias("k"))
     # a message of few different words repeats them
