@@ -6,10 +6,11 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagraph.functions import text as T
+from vintagraph.operators.bitemporal import safe
 
 
 def drift_signal(conflict_share: Column, n: Column, is_decayed: Column, tag: Column) -> Column:
@@ -77,6 +78,16 @@ def resolve(refs: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def replay(rows: DataFrame, steps: DataFrame, key: str = "series_id", t: str = "timestamp", known: str = "as_of", value: str = "value") -> DataFrame:
-    """step, key, value: what a replay would read as the last value at every step (a small table: step), all steps at once."""
-    j = rows.where(F.col(known).isNotNull()).join(F.broadcast(steps), F.col(known) <= F.col("step"))
-    return j.groupBy("step", key).agg(F.max(F.struct(t, known, value)).alias("b")).select("step", key, F.col(f"b.{value}").alias(value))
+    """step, key, value: what a replay would read as the last value at every step, all steps at once; NaN comes out as null.
+
+    ``steps`` (step) is a calendar, sent along as one array. A version counts from its first step on; the best so far
+    runs along the steps, so rows are never copied to steps.
+    """
+    calendar = steps.where("step is not null").agg(F.array_sort(F.collect_set("step")).alias("_c"))
+    own = rows.where(F.col(known).isNotNull()).crossJoin(F.broadcast(calendar)).withColumn("step", F.try_element_at(F.filter("_c", lambda x: x >= F.col(known)), F.lit(1))).where("step is not null")  # one row
+    own = own.groupBy(key, "step").agg(F.max(F.struct(t, known, value)).alias("b"))
+    grid = rows.select(key).distinct().crossJoin(F.broadcast(calendar)).select(key, F.explode_outer("_c").alias("step"))  # one row
+    run = F.max("b").over(Window.partitionBy(key).orderBy("step"))
+    held = F.col(f"b.{value}")
+    held = safe(held) if rows.schema[value].dataType.typeName() in ("double", "float") else held
+    return grid.join(own, [key, "step"], "left").withColumn("b", run).where("b is not null").select("step", key, held.alias(value))

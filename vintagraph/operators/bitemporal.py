@@ -23,9 +23,14 @@ def guard(requested, as_of, replay: bool = True) -> None:
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
-    """Of each key the row with the greatest ``order`` (then the greatest ``keep``); one shuffle with partial aggregation."""
+    """Of each key the row with the greatest ``order`` (then the greatest ``keep``); one shuffle with partial aggregation.
+
+    NaN is no value: it sorts above all numbers when versions tie, and comes out as null.
+    """
     best = F.max(F.struct(*order, *[c for c in keep if c not in order])).alias("_b")
-    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in dict.fromkeys([*order, *keep])])
+    real = {c for c in [*order, *keep] if rows.schema[c].dataType.typeName() in ("double", "float")}
+    held = [(safe(F.col(f"_b.{c}")) if c in real else F.col(f"_b.{c}")).alias(c) for c in dict.fromkeys([*order, *keep])]
+    return rows.groupBy(*keys).agg(best).select(*keys, *held)
 
 
 def as_of_read(rows: DataFrame, as_of, key: str = "series_id", t: str = "timestamp", known: str = "as_of", keep: tuple[str, ...] = ("value",), start=None, end=None) -> DataFrame:

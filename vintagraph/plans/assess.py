@@ -12,6 +12,7 @@ from vintagraph.plans import graphs, nlsql, search
 from vintagraph.plans.analytics import _QA, qa
 from vintagraph.plans.knowledge import rel
 from vintagraph.plans.registry import Registry
+from vintagraph.plans.series import no_nan
 from vintagraph.sources.tables import table
 
 query = Registry()
@@ -64,8 +65,8 @@ def entity_resolution(s, d):
     return A.resolve(table(s, d, "relations").select(F.col("head_id").alias("ref")), table(s, d, "entities"))
 
 
-@query("""WITH t AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 01:00:00', TIMESTAMP '2024-01-01 12:00:00', INTERVAL 1 HOUR)) step)
-SELECT step, series_id, b.v AS "value" FROM (SELECT step, series_id, max(struct_pack(t := timestamp, k := as_of, v := value)) b FROM t JOIN observations ON as_of <= step GROUP BY 1, 2)""")
+@query(no_nan("""WITH t AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 01:00:00', TIMESTAMP '2024-01-01 12:00:00', INTERVAL 1 HOUR)) step)
+SELECT step, series_id, b.v AS "value" FROM (SELECT step, series_id, max(struct_pack(t := timestamp, k := as_of, v := value)) b FROM t JOIN observations ON as_of <= step GROUP BY 1, 2)""", "value"))
 def replay_steps(s, d):
     t = s.range(12).select(F.expr("timestamp_ntz'2024-01-01 01:00:00' + make_dt_interval(0, int(id), 0, 0)").alias("step"))
     return A.replay(table(s, d, "observations"), t)

@@ -66,9 +66,9 @@ def affected_features_newest(s, d):
     return X.affected(table(s, d, "feature_specs"), changed, "feature_id", "input_series")
 
 
-@query("""WITH b AS (SELECT ceil(epoch_us(as_of) / 3600000000)::BIGINT h, series_id, max(struct_pack(t := timestamp, k := as_of, v := value)) b FROM observations WHERE as_of IS NOT NULL GROUP BY 1, 2),
+@query(series.no_nan("""WITH b AS (SELECT ceil(epoch_us(as_of) / 3600000000)::BIGINT h, series_id, max(struct_pack(t := timestamp, k := as_of, v := value)) b FROM observations WHERE as_of IS NOT NULL GROUP BY 1, 2),
 st AS (SELECT unnest(range((SELECT min(h) FROM b), (SELECT max(h) FROM b) + 1)) h)
-SELECT st.h step, series_id, max(b.b).v AS "value" FROM st JOIN b ON b.h <= st.h GROUP BY 1, 2""")
+SELECT st.h step, series_id, max(b.b).v AS "value" FROM st JOIN b ON b.h <= st.h GROUP BY 1, 2""", "value"))
 def replay_all_steps(s, d):
     """step (whole hours since 1970), series_id, value: what a replay reads at every hour from the first as_of to the last.
 
@@ -80,4 +80,4 @@ def replay_all_steps(s, d):
     grid = own.select("series_id").distinct().join(F.broadcast(ends)).select("series_id", F.explode(F.sequence("lo", "hi")).alias("step"))
     run = F.max("b").over(Window.partitionBy("series_id").orderBy("step"))
     r = grid.join(own, ["series_id", "step"], "left").withColumn("b", run).where("b is not null")
-    return r.select("step", "series_id", F.col("b.value").alias("value"))
+    return r.select("step", "series_id", B.safe(F.col("b.value")).alias("value"))

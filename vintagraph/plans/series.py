@@ -27,6 +27,12 @@ def query(sql: str | None = None):
     return add
 
 
+def no_nan(sql: str, *columns: str) -> str:
+    """``sql`` with NaN as null in the given columns."""
+    real = ", ".join(f'CASE WHEN NOT isnan("{c}") THEN "{c}" END AS "{c}"' for c in columns)
+    return f"SELECT * REPLACE ({real}) FROM ({sql})"
+
+
 def obs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "observations")
 
@@ -44,22 +50,22 @@ WITH v AS (SELECT series_id, timestamp, max(struct_pack(k := as_of, v := value))
 """
 
 
-@query(f"SELECT series_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (series_id, timestamp) * FROM observations WHERE as_of <= TIMESTAMP '{AS_OF}' ORDER BY series_id, timestamp, as_of DESC, value DESC)")
+@query(no_nan(f"SELECT series_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (series_id, timestamp) * FROM observations WHERE as_of <= TIMESTAMP '{AS_OF}' ORDER BY series_id, timestamp, as_of DESC, value DESC)", "value"))
 def asof_latest(s, d):
     return B.as_of_read(obs(s, d), _ts(AS_OF))
 
 
-@query(f"SELECT series_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (series_id) * FROM observations WHERE as_of <= TIMESTAMP '{AS_OF}' ORDER BY series_id, timestamp DESC, as_of DESC, value DESC)")
+@query(no_nan(f"SELECT series_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (series_id) * FROM observations WHERE as_of <= TIMESTAMP '{AS_OF}' ORDER BY series_id, timestamp DESC, as_of DESC, value DESC)", "value"))
 def last_value(s, d):
     return B.last_value(obs(s, d), _ts(AS_OF))
 
 
-@query("SELECT series_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (series_id, timestamp) * FROM observations WHERE as_of IS NOT NULL ORDER BY series_id, timestamp, as_of DESC, value DESC)")
+@query(no_nan("SELECT series_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (series_id, timestamp) * FROM observations WHERE as_of IS NOT NULL ORDER BY series_id, timestamp, as_of DESC, value DESC)", "value"))
 def latest_versions(s, d):
     return B.latest(obs(s, d))
 
 
-@query("SELECT series_id, timestamp, as_of, value, row_number() OVER (PARTITION BY series_id, timestamp ORDER BY as_of)::INT vintage FROM (SELECT series_id, timestamp, as_of, max(value) value FROM observations WHERE as_of IS NOT NULL GROUP BY ALL)")
+@query(no_nan("SELECT series_id, timestamp, as_of, value, row_number() OVER (PARTITION BY series_id, timestamp ORDER BY as_of)::INT vintage FROM (SELECT series_id, timestamp, as_of, max(value) value FROM observations WHERE as_of IS NOT NULL GROUP BY ALL)", "value"))
 def vintage_history(s, d):
     return B.versions(obs(s, d))
 
@@ -69,12 +75,12 @@ def list_series(s, d):
     return obs(s, d).select("series_id").distinct()
 
 
-@query(f"SELECT feature_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (feature_id) * FROM feature_values WHERE as_of <= TIMESTAMP '{AS_OF}' ORDER BY feature_id, timestamp DESC, as_of DESC, value DESC)")
+@query(no_nan(f"SELECT feature_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (feature_id) * FROM feature_values WHERE as_of <= TIMESTAMP '{AS_OF}' ORDER BY feature_id, timestamp DESC, as_of DESC, value DESC)", "value"))
 def feature_latest_values(s, d):
     return B.last_value(table(s, d, "feature_values"), _ts(AS_OF), key="feature_id")
 
 
-@query("SELECT feature_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (feature_id, timestamp) * FROM feature_values WHERE as_of IS NOT NULL ORDER BY feature_id, timestamp, as_of DESC, value DESC)")
+@query(no_nan("SELECT feature_id, timestamp, as_of, value FROM (SELECT DISTINCT ON (feature_id, timestamp) * FROM feature_values WHERE as_of IS NOT NULL ORDER BY feature_id, timestamp, as_of DESC, value DESC)", "value"))
 def feature_at(s, d):
     return B.latest(table(s, d, "feature_values"), key="feature_id")
 
@@ -138,8 +144,8 @@ def lookahead_violations(s, d):
     return B.violations(obs(s, d), "timestamp", "as_of", "quality_flag")
 
 
-@query(f"""WITH a AS (SELECT DISTINCT ON (series_id) series_id, value FROM observations WHERE as_of <= TIMESTAMP '{AS_OF}' ORDER BY series_id, timestamp DESC, as_of DESC, value DESC),
-b AS (SELECT DISTINCT ON (series_id) series_id, value FROM observations WHERE as_of <= TIMESTAMP '{AS_OF}' AND timestamp <= TIMESTAMP '{AS_OF}' ORDER BY series_id, timestamp DESC, as_of DESC, value DESC)
+@query(f"""WITH a AS (SELECT DISTINCT ON (series_id) series_id, CASE WHEN NOT isnan(value) THEN value END AS "value" FROM observations WHERE as_of <= TIMESTAMP '{AS_OF}' ORDER BY series_id, timestamp DESC, as_of DESC, observations.value DESC),
+b AS (SELECT DISTINCT ON (series_id) series_id, CASE WHEN NOT isnan(value) THEN value END AS "value" FROM observations WHERE as_of <= TIMESTAMP '{AS_OF}' AND timestamp <= TIMESTAMP '{AS_OF}' ORDER BY series_id, timestamp DESC, as_of DESC, observations.value DESC)
 SELECT series_id, a.value live, b.value replay, (a.value IS NOT DISTINCT FROM b.value) same FROM a JOIN b USING (series_id)""")
 def live_replay_compare(s, d):
     o = obs(s, d)
@@ -242,7 +248,9 @@ def feat_raw(s, d):
 _W1H = "OVER (PARTITION BY series_id ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)"
 
 
-@query(_PTS + f", w AS (SELECT *, avg(value) {_W1H} m, max(value) {_W1H} hi, count(value) {_W1H} n FROM p) SELECT series_id, t, round(m, 3) mean, hi, n FROM w")
+@query(_PTS + f", w AS (SELECT *, sum(value::DECIMAL(28, 6)) {_W1H} m, max(value) {_W1H} hi, count(value) {_W1H} n FROM p) SELECT series_id, t, m::DOUBLE / n mean, hi, n FROM w")
 def rolling_hour(s, d):
-    r = X.rolling(points(s, d), HOUR, {"mean": lambda w: F.avg("value").over(w), "hi": lambda w: F.max("value").over(w), "n": lambda w: F.count("value").over(w)})
-    return r.select("series_id", "t", F.round("mean", 3).alias("mean"), "hi", "n")
+    """Mean, greatest value and number of readings of the hour before; sums are decimal, so their order plays no part."""
+    total = F.col("value").cast("decimal(28,6)")
+    r = X.rolling(points(s, d), HOUR, {"total": lambda w: F.sum(total).over(w), "hi": lambda w: F.max("value").over(w), "n": lambda w: F.count("value").over(w)})
+    return r.select("series_id", "t", (F.col("total").cast("double") / F.col("n")).alias("mean"), "hi", "n")
