@@ -27,8 +27,7 @@ def brute(events, history):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_known_matches_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(known, "BLOCK", 4)
-    monkeypatch.setattr(known, "FANOUT_BITS", 1)
+    monkeypatch.setattr(blocks, "PART", 20)
     r = random.Random(seed)
     history = [(r.choice("aaab"), r.randrange(300), r.randrange(900)) for _ in range(500)]  # much arrives late, with ties
     history += [("a", None, 5), (None, 3, 4), ("a", 7, None), ("a", 10, 10), ("a", 10, 10)]
@@ -55,7 +54,7 @@ def test_known_empty(spark):
 
 def test_blocks_bound_a_hot_key(spark):
     df = spark.range(20_000).selectExpr("case when id % 10 < 9 then 'hot' else 'cold' end k", "id * id t")
-    b, _ = blocks.with_blocks(df, "k", "t", 256)
+    b = blocks.with_blocks(df, "k", "t", 256)
     sizes = [r["count"] for r in b.groupBy("k", "block").count().collect()]
     assert sum(sizes) == 20_000 and max(sizes) < 2 * 256 and len(sizes) > 60
 

@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vintagraph.operators import blocks, folds, graph, known, spikes
 
@@ -49,14 +50,24 @@ def burst(n, after):
     return [0, *range(last, last + n), *(last + n + i * 86_400_000_000 for i in range(1, after + 1))]
 
 
-def test_blocks_split_a_burst(spark):
-    df = spark.createDataFrame([("k", x) for x in burst(9000, 50)], "k string, t bigint")
-    b, p = blocks.with_blocks(df, "k", "t", 256, probes=df)
-    sizes = [r["count"] for r in b.groupBy("block").count().collect()]
-    assert sum(sizes) == 9051 and max(sizes) <= 3 * 256
-    assert b.exceptAll(p).count() == 0 and p.count() == 9051
-    r = b.groupBy("block").agg({"t": "min"}).orderBy("block").collect()
-    assert [x[1] for x in r] == sorted(x[1] for x in r)
+def test_blocks_are_even(spark):
+    far = 253_370_764_800_000_000  # in the year 9999
+    odd = {"a burst": burst(9000, 50), "one far time": [*range(20_000), far], "one instant": [*range(1000), *[5_000] * 50_000], "a third in a second": [*range(0, 20_000 * 10**6, 10**6), *range(7 * 10**9, 7 * 10**9 + 10_000)]}
+    for name, times in odd.items():
+        df = spark.createDataFrame([("k", x, i) for i, x in enumerate(times)], "k string, t bigint, id int")
+        b = blocks.with_blocks(df, "k", "t", 256, ("id",))
+        r = b.groupBy("block").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("block").collect()
+        assert sum(x.n for x in r) == len(times) and max(x.n for x in r) <= 256, name
+        assert all(x.hi <= y.lo for x, y in zip(r, r[1:])), name
+        assert max(x["count"] for x in b.groupBy(F.spark_partition_id()).count().collect()) <= 2 * max(blocks.LEAST, len(times) / 8), name
+
+
+def test_known_among_very_many_versions_of_an_instant(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART", 2000)
+    h = spark.range(50_000).selectExpr("'a' s", "100L t", "id + 10 k")
+    e = spark.createDataFrame([(1, "a", 100, 25_000), (2, "a", 99, 25_000), (3, "a", 200, 9), (4, "a", 300, 10), (5, "a", 10**17, 10**17)], "e int, s string, t bigint, k bigint")
+    got = {r.e: (r.known_t, r.known_k, r.final_k) for r in known.match_known(e, h, "e", "s", "t", "k").collect()}
+    assert got == {1: (100, 25_000, 50_009), 2: (None, None, None), 3: (None, None, 50_009), 4: (100, 10, 50_009), 5: (100, 50_009, 50_009)}
 
 
 def test_context_crosses_gaps_and_small_blocks(spark):

@@ -1,9 +1,9 @@
 """Cutting long ordered histories into blocks of bounded size.
 
-A series that holds a third of all rows must not end up in one task. ``with_blocks`` numbers
-consecutive blocks of about ``target`` rows per key in order of time, from a histogram of
-``FINE`` cells a block and at most ``CELLS`` cells a key; crowded cells are split again, so that no single task ever
-sees a whole key.
+A series that holds a third of all rows must not end up in one task, nor may one odd time, a burst or an instant with
+very many rows. ``in_order`` sorts rows over range partitions, whose bounds Spark takes from a sample of the whole sort
+key, ties included; ``with_blocks`` numbers every ``target`` rows of that order as a block, so blocks are even however
+the times are spread.
 """
 
 from __future__ import annotations
@@ -13,69 +13,46 @@ from pyspark.sql import functions as F
 
 from vintagraph.session import cut, small
 
+#: Rows a range partition holds, about, and the fewest for which one is worth a task.
+PART, LEAST = 1 << 18, 1 << 13
 
-#: Histogram cells a block, and at most a key or crowded cell.
-FINE, CELLS = 64, 65536
 
+def in_order(rows: DataFrame, by: list[str], count: int | None = None) -> DataFrame:
+    """``rows`` sorted by ``by`` over partitions of about PART rows, fewer where there are cores for more.
 
-def with_blocks(history: DataFrame, key: str, t: str, target: int, probes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Add ``block`` (bigint, ascending in ``t`` within ``key``) to ``history`` and to ``probes``.
-
-    ``t`` is a bigint. Rows with a null key or ``t`` are dropped from ``history``. Probes of unknown keys and
-    probes before a key's first row get a null block. A block holds about ``target`` rows plus at most one
-    histogram cell of up to twice that, or the rows of a single ``t``. Block numbers may have gaps.
+    Rows that are equal in all of ``by`` share a partition: end ``by`` with what tells rows apart.
     """
-    h = history.where(F.col(key).isNotNull() & F.col(t).isNotNull())
-    bounds = h.groupBy(key).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    cells = F.least(F.lit(float(CELLS)), F.greatest(F.lit(1.0), F.col("_n") * FINE / target))
-    bounds = bounds.withColumn("_w", F.greatest(F.lit(1).cast("bigint"), F.ceil((F.col("_hi") - F.col("_lo") + 1) / cells).cast("bigint"))).drop("_n")
-    bounds = small(cut(bounds))
-
-    def place(rows: DataFrame, how: str) -> DataFrame:
-        r = rows.join(bounds, key, how).withColumn("_at", F.least(F.col(t), F.col("_hi")))
-        start = F.col("_lo") + F.floor((F.col("_at") - F.col("_lo")) / F.col("_w")).cast("bigint") * F.col("_w")
-        return r.withColumn("_cell", F.when(F.col(t) >= F.col("_lo"), start)).drop("_lo", "_hi")
+    n = rows.count() if count is None else count
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // PART), min(cores, -(-n // LEAST)))
+    return rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
-    hc, pc = place(h, "inner"), None if probes is None else place(probes, "left")
-    while True:
-        hist = hc.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_w").alias("_w"))
-        parts = F.least(F.lit(float(CELLS)), F.col("_n") * FINE / target)
-        crowded = cut(hist.where((F.col("_n") > 2 * target) & (F.col("_w") > 1)).select(key, "_cell", F.ceil(F.col("_w") / parts).cast("bigint").alias("_v")))
-        if crowded.isEmpty():
-            break
-        crowded = small(crowded)
-        hc, pc = _split(hc, crowded, key), None if pc is None else _split(pc, crowded, key)
-    hist = hist.drop("_w")
-    if pc is not None:
-        empty = pc.where(F.col("_cell").isNotNull()).groupBy(key, "_cell").agg(F.lit(0).cast("bigint").alias("_n"))
-        hist = hist.unionByName(empty).groupBy(key, "_cell").agg(F.sum("_n").alias("_n"))
-    # one row a cell, not a row of the key, reaches this window
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = hist.select(key, "_cell", F.floor(F.greatest(before - 1, F.lit(0)) / F.lit(target)).cast("bigint").alias("block"))
-    out = hc.join(blocks, [key, "_cell"]).drop("_cell", "_at", "_w")
-    return out, None if pc is None else pc.join(blocks, [key, "_cell"], "left").drop("_cell", "_at", "_w")
 
+def with_blocks(history: DataFrame, key: str, t: str, target: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``block`` (bigint, ascending in ``t``, then ``ties``, within ``key``) to ``history``; the result is cut.
 
-def _split(rows: DataFrame, crowded: DataFrame, key: str) -> DataFrame:
-    """``rows`` with those of crowded cells in finer cells of width ``_v``."""
-    r = rows.join(crowded, [key, "_cell"], "left")
-    finer = F.col("_cell") + F.floor((F.col("_at") - F.col("_cell")) / F.col("_v")).cast("bigint") * F.col("_v")
-    return r.withColumn("_cell", F.coalesce(finer, "_cell")).withColumn("_w", F.coalesce("_v", "_w")).drop("_v")
+    Rows with a null key or ``t`` are dropped. A block of a key holds at most ``target`` rows (rounded up to a power of
+    two). Block numbers may have gaps.
+    """
+    h = history.where(F.col(key).isNotNull() & F.col(t).isNotNull())
+    bits = max(0, (target - 1).bit_length())
+    # the id counts up along the sort order of a partition and the partitions are in order
+    return cut(in_order(h, [key, t, *ties]).withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits)))
 
 
-def with_context(blocked: DataFrame, key: str, t: str, before: int, after: int) -> DataFrame:
+def with_context(blocked: DataFrame, key: str, t: str, before: int, after: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """Copy the edge rows of each block to its neighbours: ``to`` is the block that reads the row.
 
     Each block also reads the last ``before`` rows before it and the first ``after`` rows after it, from as many blocks
     as hold them; block numbers may have gaps. The row's own block stays in ``block``; a row is context where ``to``
     differs from it.
     """
-    by = Window.partitionBy(key).orderBy("block")
+    by = Window.partitionBy(key).orderBy("block")  # one row a block
     n = blocked.groupBy(key, "block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_e", F.sum("_n").over(by)).withColumn("_s", F.col("_e") - F.col("_n"))
     ahead, back = (F.collect_list(F.struct("block", "_s", "_e")).over(by.rowsBetween(*x)) for x in ((1, max(before, 1)), (-max(after, 1), -1)))
     n = n.withColumn("_next", ahead).withColumn("_prev", back)
     n = n.withColumn("_next", F.filter("_next", lambda x: x["_s"] - F.col("_e") < before)).withColumn("_prev", F.filter("_prev", lambda x: F.col("_s") - x["_e"] < after))
-    r = blocked.withColumn("_r", F.row_number().over(Window.partitionBy(key, "block").orderBy(t))).join(small(cut(n)), [key, "block"])
+    r = blocked.withColumn("_r", F.row_number().over(Window.partitionBy(key, "block").orderBy(t, *ties))).join(small(cut(n)), [key, "block"])
     right = F.filter("_next", lambda x: F.col("_n") - F.col("_r") + x["_s"] - F.col("_e") < before)["block"]
     left = F.filter("_prev", lambda x: F.col("_r") - 1 + F.col("_s") - x["_e"] < after)["block"]
-    return r.withColumn("to", F.explode(F.concat(F.array("block"), left, right))).drop("_r", "_n", "_s", "_e", "_next", "_prev").select(*blocked.columns, "to")
+    return r.withColumn("to", F.explode_outer(F.concat(F.array("block"), left, right))).drop("_r", "_n", "_s", "_e", "_next", "_prev").select(*blocked.columns, "to")

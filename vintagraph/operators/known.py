@@ -5,28 +5,101 @@ each of its attributes separately and the matches are pivoted back, so that attr
 different times never force wide versions.
 
 The match is two-dimensional: the last version with time <= event time *and* known-at <= event known-at.
-Histories are cut into blocks of bounded size (``blocks.with_blocks``); a block is one sorted array, and an
-event searches its own block. What is not found there climbs a tree of block summaries (earliest known-at per
-block, 64 children a node) and descends to the one block that holds the match. No task reads a whole history,
-and nothing is dropped, however late versions arrive.
+Versions and events are sorted together by attribute, time and known-at over range partitions of even size
+(``blocks.in_order``), so neither a hot attribute nor an instant with very many versions makes a large task. In a
+partition every event climbs a tree of least known-at times to its match. Only what an event's own partition does not
+hold is looked up in an earlier one of the same attribute, found by the least known-at of each. No task reads a whole
+history, and nothing is dropped, however late versions arrive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintagraph.operators.blocks import with_blocks
+from vintagraph.operators.blocks import in_order
 from vintagraph.session import cut, small
 
-#: Versions a block, and children a node of the summary tree.
-BLOCK, FANOUT_BITS = 64, 6
-FOREVER = 2**63 - 1
+#: Known-at of an event that knows nothing.
+NEVER = -(2**63)
+
 
+def last_known(k: np.ndarray, before: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Of each query the last index below ``before`` whose ``k`` is at most ``bound``, else -1.
 
-def _last(array: str, cond) -> Column:
-    hits = F.filter(F.col(array), cond)
-    return F.try_element_at(hits, F.lit(-1))
+    ``levels[l]`` holds the least k of runs of 2**l; a query climbs to the first run before it that has a hit, then
+    descends in it. All queries move together.
+    """
+    levels = [k]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        x = np.append(x, np.iinfo(np.int64).max) if len(x) % 2 else x
+        levels.append(np.minimum(x[::2], x[1::2]))
+    pos, node = before.astype(np.int64), np.full(len(before), -1, dtype=np.int64)
+    depth = np.zeros(len(before), dtype=np.int64)
+    for lv, least in enumerate(levels):
+        at = np.flatnonzero((node < 0) & ((pos >> lv) & 1 == 1))
+        run = (pos[at] >> lv) - 1
+        hit = least[run] <= bound[at]
+        node[at[hit]], depth[at[hit]] = run[hit], lv
+        pos[at[~hit]] -= 1 << lv
+    for lv in range(len(levels) - 1, 0, -1):
+        at = np.flatnonzero((node >= 0) & (depth == lv))
+        right = 2 * node[at] + 1
+        below = levels[lv - 1]
+        ok = (right < len(below)) & (below[np.minimum(right, len(below) - 1)] <= bound[at])
+        node[at], depth[at] = np.where(ok, right, right - 1), lv - 1
+    return node
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row an event (kind 1) with its matches in the partition, and one (kind 0) on the partition's last attribute."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    tb = pa.Table.from_batches(parts).combine_chunks()
+    code = tb["_a"].combine_chunks().dictionary_encode().indices.to_numpy()
+    t, k, o = (tb[c].to_numpy() for c in ("_t", "_k", "_o"))
+    version = o == 0
+    vt, vk = t[version], k[version]
+    seen = np.cumsum(version)  # versions up to each row
+    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    first = np.repeat(seen[start] - version[start], np.diff(np.r_[start, len(code)]))  # versions before the attribute
+    at = np.flatnonzero(~version)
+    q, low = seen[at], first[at]
+    j = last_known(vk, q, k[at]) if len(vk) else np.full(len(at), -1, dtype=np.int64)
+    known, final = np.where((j >= low) & (k[at] > NEVER), j, -1), np.where(q > low, q - 1, -1)
+    pid = tb["_p"][0].as_py()
+
+    def column(x: np.ndarray, hit: np.ndarray) -> pa.Array:
+        return pa.array(x[hit] if len(x) else np.zeros(len(hit), dtype=np.int64), mask=hit < 0, type=pa.int64())
+
+    n = len(at)
+    # earlier partitions may hold more of the first attribute only
+    cols = [pa.array(np.full(n, 1, dtype=np.int32)), pa.array(np.full(n, pid, dtype=np.int32)), tb["_i"].combine_chunks().take(pa.array(at)), tb["_a"].combine_chunks().take(pa.array(at)), pa.array(k[at]), column(vt, known), column(vk, known), column(vt, final), column(vk, final), pa.array(code[at] == code[0])]
+    names = ["kind", "_p", "_i", "_a", "_k", "known_t", "known_k", "final_t", "final_k", "first"]
+    if n:
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+    own = int(first[-1])
+    if len(vk) > own:
+        one = lambda x, kind: pa.array([x], type=kind)
+        last = [one(0, pa.int32()), one(pid, pa.int32()), one(None, pa.int64()), one(tb["_a"][len(code) - 1].as_py(), tb.schema.field("_a").type), one(int(vk[own:].min()), pa.int64()), one(None, pa.int64()), one(None, pa.int64()), one(int(vt[-1]), pa.int64()), one(int(vk[-1]), pa.int64()), one(False, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(last, names=names)
+
+
+def _elsewhere(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """The matches of events in one earlier partition of their attribute."""
+    asks = group["_i"].notna().to_numpy()
+    v = group[~asks].sort_values(["_t", "_k"])
+    e = group[asks]
+    j = last_known(v["_k"].to_numpy(dtype=np.int64), np.full(len(e), len(v)), e["_k"].to_numpy(dtype=np.int64))
+    hit = v.iloc[j]
+    return pd.DataFrame({"_i": e["_i"].to_numpy().astype(np.int64), "_t2": hit["_t"].to_numpy(), "_k2": hit["_k"].to_numpy()})
 
 
 def match_known(events: DataFrame, history: DataFrame, event: str, attribute: str, t: str, known: str) -> DataFrame:
@@ -38,27 +111,30 @@ def match_known(events: DataFrame, history: DataFrame, event: str, attribute: st
     ``events`` with ``event``, ``attribute``, ``known_t``, ``known_k``, ``final_t``, ``final_k`` (null where there is
     no such version). Only times travel here; ``with_payload`` fetches what the matched versions hold.
     """
-    h = history.where(F.col(known).isNotNull()).select(F.col(attribute).alias("_a"), F.col(t).alias("_t"), F.col(known).alias("_k"))
-    e = events.select(F.col(event).alias("_e"), F.col(attribute).alias("_a"), F.col(t).alias("_t"), F.col(known).alias("_k"))
-    hb, eb = with_blocks(h, "_a", "_t", BLOCK, probes=e)
-    blocks = hb.groupBy("_a", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_k").alias("k")))).alias("_v"), F.min("_k").alias("_mk"))
-    blocks = cut(blocks)
-    top = blocks.agg(F.max("block")).first()[0] or 0
-
-    own = eb.join(blocks.select("_a", "block", "_v"), ["_a", "block"], "left")
-    own = own.withColumn("_f", _last("_v", lambda v: v["t"] <= F.col("_t"))).withColumn("_h", _last("_v", lambda v: (v["t"] <= F.col("_t")) & (v["k"] <= F.col("_k")))).drop("_v", "_t")
-    own = cut(own.withColumn("_i", F.monotonically_increasing_id()))
-
-    open_ = own.where("block is not null").select("_i", "_a", F.col("block").alias("_node"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("_h").alias("hit"), F.col("_k").alias("k")), F.struct(F.lit(1).alias("kind"), F.col("_f").alias("hit"), F.lit(FOREVER).alias("k")))).alias("_q"))
-    open_ = open_.where("_q.hit is null and _q.k is not null").select("_i", "_a", "_node", F.col("_q.kind").alias("_kind"), F.col("_q.k").alias("_k"))
-    found = _climb(open_, blocks, top)
-    if found is None:
-        known_hit = own.withColumn("_kh", F.col("_h")).withColumn("_fh", F.col("_f"))
-    else:
-        by = found.groupBy("_i").agg(F.max(F.when(F.col("_kind") == 0, F.col("_hit"))).alias("_h2"), F.max(F.when(F.col("_kind") == 1, F.col("_hit"))).alias("_f2"))
-        known_hit = own.join(by, "_i", "left").withColumn("_kh", F.coalesce("_h", "_h2")).withColumn("_fh", F.coalesce("_f", "_f2"))
-    cols = [F.col(f"{x}.{y}").alias(f"{n}_{y}") for x, n in (("_kh", "known"), ("_fh", "final")) for y in ("t", "k")]
-    return known_hit.select(F.col("_e").alias(event), F.col("_a").alias(attribute), *cols)
+    kind = history.schema[attribute].dataType
+    asked = cut(events.select(F.monotonically_increasing_id().alias("_i"), F.col(event).alias("_e"), F.col(attribute).cast(kind).alias("_a"), F.col(t).alias("_t"), F.coalesce(known, F.lit(NEVER)).alias("_k")))
+    h = history.select(F.col(attribute).alias("_a"), F.col(t).alias("_t"), F.col(known).alias("_k")).where("_a is not null and _t is not null and _k is not null")
+    h = h.distinct()  # repeated deliveries could not be told apart by the sort
+    both = h.select("_a", "_t", F.lit(0).alias("_o"), "_k", F.lit(None).cast("bigint").alias("_i")).unionByName(asked.where("_a is not null and _t is not null").select("_a", "_t", F.lit(1).alias("_o"), "_k", "_i"))
+    # versions of an event's own time come before it
+    line = cut(in_order(both, ["_a", "_t", "_o", "_k", "_i"], history.count() + asked.count()).withColumn("_p", F.spark_partition_id()))
+    names = "known_t bigint, known_k bigint, final_t bigint, final_k bigint"
+    got = cut(line.mapInArrow(_search, f"kind int, _p int, _i bigint, _a {kind.simpleString()}, _k bigint, {names}, first boolean"))
+    # the partitions of an attribute that ends or goes on beyond them: one row each, of the attributes that need them
+    lists = got.where("kind = 0").groupBy("_a").agg(F.sort_array(F.collect_list(F.struct("_p", F.col("_k").alias("least"), "final_t", "final_k"))).alias("_s"))
+    open_ = got.where("kind = 1 and first and (final_t is null or known_t is null)").select("_i", "_a", "_k", "_p", "final_t", "known_t")
+    past = open_.join(small(cut(lists)), "_a").withColumn("_s", F.filter("_s", lambda x: x["_p"] < F.col("_p")))
+    with_k = F.when(F.col("known_t").isNull() & (F.col("_k") > NEVER), F.try_element_at(F.filter("_s", lambda x: x["least"] <= F.col("_k")), F.lit(-1))["_p"])
+    past = cut(past.where("size(_s) > 0").select("_i", "_a", "_k", with_k.alias("_q"), F.try_element_at("_s", F.lit(-1)).alias("_l")))
+    wanted = past.where("_q is not null").select("_a", F.col("_q").alias("_p"), "_k", "_i")
+    places = small(cut(wanted.select("_a", "_p").distinct()))
+    held = line.where("_o = 0").select("_a", "_p", "_t", "_k", "_i").join(places, ["_a", "_p"], "left_semi").unionByName(wanted.select("_a", "_p", F.lit(None).cast("bigint").alias("_t"), "_k", "_i"))
+    there = held.groupBy("_a", "_p").applyInPandas(_elsewhere, "_i bigint, _t2 bigint, _k2 bigint")
+    late = past.select("_i", F.col("_l.final_t").alias("_ft"), F.col("_l.final_k").alias("_fk")).join(there, "_i", "left")
+    hits = got.where("kind = 1").join(small(cut(late)), "_i", "left")
+    picked = [F.coalesce("known_t", "_t2").alias("known_t"), F.coalesce("known_k", "_k2").alias("known_k"), F.coalesce("final_t", "_ft").alias("final_t"), F.coalesce("final_k", "_fk").alias("final_k")]
+    out = asked.select("_i", F.col("_e").alias(event), F.col("_a").alias(attribute)).join(hits.select("_i", *picked), "_i", "left")
+    return out.drop("_i")
 
 
 def with_payload(matches: DataFrame, history: DataFrame, attribute: str, t: str, known: str, payload: str, every: bool = False) -> DataFrame:
@@ -74,31 +150,6 @@ def with_payload(matches: DataFrame, history: DataFrame, attribute: str, t: str,
     return (matches if every else wanted).join(held, [attribute, "known_t", "known_k"], "left" if every else "inner")
 
 
-def _climb(open_: DataFrame, blocks: DataFrame, top: int) -> DataFrame | None:
-    """Hits of the searches in ``open_`` in blocks before their own; the number of rounds is log64 of the blocks."""
-    summaries, level = [], blocks.select("_a", F.col("block").alias("_c"), "_mk")
-    while top > 0:
-        node = F.shiftright("_c", FANOUT_BITS).alias("_parent")
-        summaries.append(level.groupBy("_a", node).agg(F.sort_array(F.collect_list(F.struct(F.col("_c").alias("c"), F.col("_mk").alias("mk")))).alias("_s"), F.min("_mk").alias("_mk")))
-        level = summaries[-1].select("_a", F.col("_parent").alias("_c"), "_mk")
-        top >>= FANOUT_BITS
-    if not summaries:
-        return None
-    up, at = open_, []
-    for s in summaries:
-        step = up.withColumn("_parent", F.shiftright("_node", FANOUT_BITS)).join(s.select("_a", "_parent", "_s"), ["_a", "_parent"], "left")
-        step = cut(step.withColumn("_child", _last("_s", lambda x: (x["c"] < F.col("_node")) & (x["mk"] <= F.col("_k")))["c"]).drop("_s"))
-        at.append(step.where("_child is not null").select("_i", "_a", "_kind", "_k", F.col("_child").alias("_node")))
-        up = step.where("_child is null").select("_i", "_a", "_kind", "_k", F.col("_parent").alias("_node"))
-    down = at.pop()
-    for s in reversed(summaries[:-1]):
-        step = down.withColumn("_parent", F.col("_node")).join(s.select("_a", "_parent", "_s"), ["_a", "_parent"])
-        lower = step.select("_i", "_a", "_kind", "_k", _last("_s", lambda x: x["mk"] <= F.col("_k"))["c"].alias("_node"))
-        down = lower.unionByName(at.pop())
-    leaf = small(cut(down)).join(blocks.select("_a", F.col("block").alias("_node"), "_v"), ["_a", "_node"])
-    return leaf.select("_i", "_kind", _last("_v", lambda v: v["k"] <= F.col("_k")).alias("_hit"))
-
-
 def pivot_known(matches: DataFrame, event: str, attribute: str, value: str = "known_payload", every: bool = False) -> DataFrame:
     """The matches of an event put back side by side: ``attributes`` maps attribute to matched value.
 
