@@ -94,6 +94,19 @@ def test_chart():
     assert list(spikes.stuck(np.array([1.0] * 8 + [2.0] * 7))) == [True] * 8 + [False] * 7
 
 
+def test_limits_follow_the_series():
+    rng = np.random.default_rng(11)
+    size = np.geomspace(0.1, 4.0, 6000)  # changes grow fortyfold
+    v = 50 + np.cumsum(rng.normal(0, 1, 6000) * size) * 0.2
+    at = [200, 900, 2500, 4000, 5500]
+    v[at] += 15 * size[at] * 0.2
+    usual = float(np.median(np.abs(np.diff(v[:128]))))
+    found = set(np.flatnonzero(spikes.chart(v, usual, False)).tolist())
+    frozen = set(np.flatnonzero(spikes.chart(v, usual, False, alpha=0.0)).tolist())
+    assert len(found & set(at)) >= 4 and len(found - set(at)) <= 1
+    assert len(frozen - set(at)) > 20 or len(frozen & set(at)) < 3
+
+
 def test_spikes_do_not_depend_on_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = 50 + np.cumsum(rng.normal(0, 0.1, 3000))

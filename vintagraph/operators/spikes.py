@@ -1,12 +1,14 @@
 """Implausible spikes in measurements (problem 7): robust control charts per series.
 
-Each series has an exponentially weighted chart of its level and of its usual change between readings. A reading
-far off the level is held back and does not update the chart (suspected values are clipped); it is a spike if
-the level comes back within three readings, and a new level if it doesn't. Run-length counters find stuck runs
-and physical limits find impossible values.
-
-Series are cut into blocks of bounded size; a block's chart warms up on the last readings of the block before it
-and looks at the first ones of the block after it, so a hot series is many tasks.
+Each series has exponentially weighted charts of its level and of its usual change between readings; both follow the
+series, so limits widen and narrow with it. A reading far off the level is suspected: it is clipped to the limit of the
+update before level and scale take it in, so that spikes neither drag the level nor widen the limits. It is a spike if
+the readings come back to the level from before it within three, and a new level if they don't. Run-length counters
+find stuck runs and physical limits find impossible values.
+
+Series are cut into blocks of bounded size; a block's charts warm up on the last readings of the block before it and
+look at the first ones of the block after it, so a hot series is many tasks. The scale starts at the median change of
+the warm-up; in series that stand still, where that holds few moves or none, at the usual move of the whole series.
 """
 
 from __future__ import annotations
@@ -19,13 +21,17 @@ from pyspark.sql import functions as F
 from vintagraph.operators.blocks import with_blocks, with_context
 from vintagraph.session import cut, micros, small
 
-BLOCK, WARM, AHEAD = 4096, 128, 32
+BLOCK, WARM, AHEAD = 4096, 256, 32
 #: Limits in usual changes: of a spike, in a series that moves and in one that mostly stands still; a mean absolute
 #: change is about 1.18 medians of a normal one.
 MOVING, STILL = 10.0, 3.0
 #: Readings in a row that make a stuck run, and at most in a spike.
 STUCK, SPIKE = 8, 3
-ALPHA_LEVEL, ALPHA_SCALE = 0.5, 0.01
+ALPHA_LEVEL, ALPHA_SCALE = 0.5, 0.02
+#: Usual changes to which a suspected value and a change are clipped.
+CLIP = 3.0
+#: Mean change in medians where changes are normal, and what the clip leaves of the mean: the scale is a mean change.
+MEDIANS, LEFT = 1.18, 0.988
 
 
 def impossible(observations: DataFrame, limits: DataFrame) -> DataFrame:
@@ -49,38 +55,40 @@ def first_versions(observations: DataFrame, limits: DataFrame) -> DataFrame:
     return f.join(small(lim), "series_id", "left").where(ok).drop("lo", "hi")
 
 
-def chart(values: np.ndarray, usual: float, still: bool) -> np.ndarray:
-    """Which of the values are spikes. ``usual`` is the series' usual change between readings."""
+def start(values: np.ndarray, still: bool) -> float:
+    """The median change in ``values``, 0 if there is none; a still series has too few moves there to tell."""
+    return 0.0 if still or len(values) < 2 else float(np.median(np.abs(np.diff(values))))
+
+
+def chart(values: np.ndarray, usual: float, still: bool, alpha: float | None = None) -> np.ndarray:
+    """Which of the values are spikes. ``usual``: the usual change that the scale starts with; ``alpha``: its weight."""
     n = len(values)
     out = np.zeros(n, dtype=bool)
     if n == 0 or not usual > 0:
         return out
+    weight = ALPHA_SCALE if alpha is None else alpha
     limit = STILL if still else MOVING
     same = limit / 2
-    level, scale, start = float(np.median(values[: min(n, 5)])), usual * (1.0 if still else 1.18), -1
-    last = level
+    level, scale = float(np.median(values[: min(n, 5)])), usual * (1.0 if still else MEDIANS)
+    last, since, held = level, -1, (level, scale, level)
     for i, x in enumerate(values.tolist()):
-        off = abs(x - level)
-        if start < 0:
-            if off > limit * scale:
-                start = i
-                continue
-        elif off <= same * scale:
-            out[start:i] = True
-            start = -1
-        elif i - start < SPIKE:
-            continue
-        else:  # a level that lasts is no spike: the chart starts anew there
-            level = last = float(np.median(values[start : i + 1]))
-            start = -1
-            continue
-        if still:
-            level = x
-        else:
-            step = min(abs(x - last), 3 * scale)
-            scale += ALPHA_SCALE * (step - scale)
-            scale = min(max(scale, usual * 0.8), usual * 1.3)
-            level += ALPHA_LEVEL * (x - level)
+        if since >= 0:  # an excursion is open: compare with the level before it
+            before = held[0]
+            if abs(x - before) <= same * held[1]:
+                out[since:i] = True
+                level, scale, last = held
+                since = -1
+            elif i - since >= SPIKE:  # a level that lasts is no spike
+                level = last = float(np.median(values[since : i + 1]))
+                scale, since = held[1], -1
+        if since < 0 and abs(x - level) > limit * scale:
+            since, held = i, (level, scale, last)
+        room = CLIP * scale
+        x = min(max(x, level - room), level + room) if since >= 0 else x
+        change = min(abs(x - last), room)
+        if change > 0:  # a frozen sensor tells nothing about changes
+            scale += weight * (change / (1.0 if still else LEFT) - scale)
+        level = x if still and since < 0 else level + ALPHA_LEVEL * (x - level)
         last = x
     return out
 
@@ -99,7 +107,7 @@ def _scan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     g = group.sort_values(["t", "observation_id"], kind="stable")
     v = g["value"].to_numpy(dtype=float)
     still, usual = bool(g["still"].iloc[0]), float(g["usual"].iloc[0])
-    s = chart(v, usual, still)
+    s = chart(v, start(v[:WARM], still) or usual, still)
     own = (g["block"] == g["to"]).to_numpy()
     kinds = [("spike", s)] + ([] if still else [("stuck", stuck(v))])
     ids = g["observation_id"].to_numpy()
@@ -109,9 +117,9 @@ def _scan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 def spikes_and_stuck(observations: DataFrame, limits: DataFrame) -> DataFrame:
     """observation_id, kind ('spike', 'stuck') of the first versions of readings.
 
-    The usual change of a series is the median absolute change between successive readings, of the moves alone if
-    it stands still more than half of the time (then nothing counts as stuck). Series with a single reading, or
-    that never change, have no spikes.
+    A series that stands still more than half of the time has a chart of its moves alone (then nothing counts as
+    stuck); ``usual`` is the median change of the series, for warm-ups that hold no change. Series with a single
+    reading, or that never change, have no spikes.
     """
     blocked = with_blocks(first_versions(observations, limits), "series_id", "t", BLOCK)
     d = blocked.withColumn("d", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("series_id", "block").orderBy("t")))).where("d is not null")
