@@ -28,16 +28,16 @@ def in_order(rows: DataFrame, by: list[str], count: int | None = None) -> DataFr
     return rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
 
-def with_blocks(history: DataFrame, key: str, t: str, target: int, ties: tuple[str, ...] = ()) -> DataFrame:
+def with_blocks(history: DataFrame, key: str, t: str, target: int, ties: tuple[str, ...] = (), count: int | None = None) -> DataFrame:
     """Add ``block`` (bigint, ascending in ``t``, then ``ties``, within ``key``) to ``history``; the result is cut.
 
     Rows with a null key or ``t`` are dropped. A block of a key holds at most ``target`` rows (rounded up to a power of
-    two). Block numbers may have gaps.
+    two). Block numbers may have gaps. ``count``: about how many rows there are, if known more cheaply than by counting.
     """
     h = history.where(F.col(key).isNotNull() & F.col(t).isNotNull())
     bits = max(0, (target - 1).bit_length())
     # the id counts up along the sort order of a partition and the partitions are in order
-    return cut(in_order(h, [key, t, *ties]).withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits)))
+    return cut(in_order(h, [key, t, *ties], count).withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits)))
 
 
 def with_context(blocked: DataFrame, key: str, t: str, before: int, after: int, ties: tuple[str, ...] = ()) -> DataFrame:

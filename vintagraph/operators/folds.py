@@ -34,7 +34,7 @@ def ema(events: DataFrame, key: str, t: str, tie: str, value: str, alpha: float
     ``t`` is a bigint, ``tie`` a unique id.
     """
     e = events.where(F.col(value).isNotNull() & F.col(t).isNotNull()).select(F.col(key).alias("_k"), F.col(t).alias("_t"), F.col(tie).alias("_id"), F.col(value).cast("double").alias("_x"))
-    both = with_context(with_blocks(e, "_k", "_t", BLOCK, ("_id",)), "_k", "_t", WARM, 0, ("_id",))
+    both = with_context(with_blocks(e, "_k", "_t", BLOCK, ("_id",), events.count()), "_k", "_t", WARM, 0, ("_id",))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["_t", "_id"])

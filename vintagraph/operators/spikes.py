@@ -121,7 +121,7 @@ def spikes_and_stuck(observations: DataFrame, limits: DataFrame) -> DataFrame:
     stuck); ``usual`` is the median change of the series, for warm-ups that hold no change. Series with a single
     reading, or that never change, have no spikes.
     """
-    blocked = with_blocks(first_versions(observations, limits), "series_id", "t", BLOCK)
+    blocked = with_blocks(first_versions(observations, limits), "series_id", "t", BLOCK, count=observations.count())
     d = blocked.withColumn("d", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("series_id", "block").orderBy("t")))).where("d is not null")
     usual = d.groupBy("series_id").agg((F.avg((F.col("d") == 0).cast("int")) > 0.5).alias("still"), F.percentile_approx("d", 0.5, 10000).alias("_all"), F.percentile_approx(F.when(F.col("d") > 0, F.col("d")), 0.5, 10000).alias("_moves"))
     usual = usual.select("series_id", "still", F.coalesce(F.when(F.col("still") | (F.col("_all") == 0), F.col("_moves")).otherwise(F.col("_all")), F.lit(0.0)).alias("usual"))
