@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from vintagraph.llm import answers, leaks, neighbours, residue, splitting, tokens
 
@@ -149,6 +150,19 @@ def test_neighbours_recall_with_few_lists(spark):
     assert hit / (5 * len(want)) >= 0.9
 
 
+def test_two_levels_of_centres_and_a_query_set(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FLAT", 8)
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(30, 8)) * 2
+    v = [(int(i), [float(a) for a in (c[i % 30] + rng.normal(size=8)).astype(np.float32)]) for i in range(2000)]
+    df = spark.createDataFrame(v, "id bigint, embedding array<float>")
+    want, hit, n = exact(v, 5), 0, 0
+    for r in neighbours.nearest(spark, df, "id", "embedding", k=5, dims=8, probes=12, asked=F.col("id") % 10 == 0).collect():
+        assert r.id % 10 == 0
+        n, hit = n + 1, hit + (r.other in want[r.id])
+    assert n == 5 * 200 and hit / n >= 0.9
+
+
 # answers
 def test_defects(spark):
     ko, en = "가온 정수장의 탁도 기준은 얼마인가요?", "What is the limit for turbidity at Pellam?"

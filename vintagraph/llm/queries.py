@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar chunks of every chunk whose id is divisible by 100, against all chunks."""
-    return nearest(spark, table(spark, d, "text_chunks"), "id", "embedding").where("id % 100 = 0").select("id", "other", F.round("similarity", 5).alias("similarity"), "rank")
+    return nearest(spark, table(spark, d, "text_chunks"), "id", "embedding", asked=F.col("id") % 100 == 0).select("id", "other", F.round("similarity", 5).alias("similarity"), "rank")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
