@@ -74,6 +74,8 @@ def test_signed_paths(spark):
     p = graph.simple_paths(e, spark.createDataFrame([("a", "c")], "src string, dst string"), 4)
     v = graph.path_verdict(p).first()
     assert (v.sign, v.conflicts) == ("-", 1) and v.confidence == pytest.approx(1 / 3)
+    chain = spark.range(40).selectExpr("id src", "id + 1 dst")
+    assert graph.levels(chain).agg({"level": "max"}).first()[0] == 40 and graph.levels(chain.limit(0)).count() == 0
     assert {r.node: r.level for r in graph.levels(e).collect()} == {"a": 0, "b": 1, "c": 2}
     with pytest.raises(ValueError, match="cycle"):
         graph.levels(e.unionByName(e.selectExpr("dst src", "src dst", "rel", "sign", "weight")), depth=5).count()

@@ -117,21 +117,27 @@ def two_hop_shock(edges: DataFrame, seeds: DataFrame, fan: int = 2) -> DataFrame
     return one.unionByName(two).groupBy("seed", "node", "hop").agg(F.sum("impact").alias("impact"))
 
 
-def levels(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """node, level of an acyclic graph: the longest path to it. Raises if there is a cycle, or a path longer than ``depth``."""
-    e = edges.select("src", "dst").distinct()
+def levels(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """node, level of an acyclic graph: the longest path to it, however long. Raises if there is a cycle.
+
+    Nodes whose edges in are all worked off make the next layer (Kahn); a node is worked off once. ``depth``: raise for
+    longer paths too.
+    """
+    e = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    into = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    front = cut(nodes.join(e.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
-    out, n = front, 0
-    while not front.isEmpty():
-        n += 1
-        if n > depth:
-            raise ValueError(f"paths longer than {depth}: the graph has a cycle")
-        front = cut(front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(n)))
-        out = out.unionByName(front)
-    if not nodes.join(out, "node", "left_anti").isEmpty():
-        raise ValueError("nodes that no source reaches: the graph has a cycle")
-    return nodes.join(out.groupBy("node").agg(F.max("level").alias("level")), "node")
+    left = cut(nodes.join(into, "node", "left").select("node", F.coalesce("open", F.lit(0).cast("bigint")).alias("open")))
+    out, n = None, 0
+    while not left.isEmpty():
+        front = cut(left.where("open = 0").select("node").withColumn("level", F.lit(n)))
+        if depth is not None and n > depth:
+            raise ValueError(f"paths longer than {depth}")
+        if front.isEmpty():
+            raise ValueError("nodes wait for one another: the graph has a cycle")
+        done = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("k"))
+        left = cut(left.where("open > 0").join(done, "node", "left").select("node", (F.col("open") - F.coalesce("k", F.lit(0))).alias("open")))
+        out, n = front if out is None else out.unionByName(front), n + 1
+    return nodes.withColumn("level", F.lit(0)).where("false") if out is None else out
 
 
 def degrees(edges: DataFrame) -> DataFrame:

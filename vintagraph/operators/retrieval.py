@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,8 +66,12 @@ def gram_counts(rows: DataFrame, lo: int = 3, hi: int = 5) -> DataFrame:
     return rows.select("id", "text").mapInPandas(run, "id bigint, term string, tf bigint")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, double_exact: bool = True) -> DataFrame:
-    """qid, id, score by character n-grams over documents (id, text) sharing one with the query; query counts play no part."""
+def bm25(docs: DataFrame, queries: DataFrame, double_exact: bool = True, k: int | None = None) -> DataFrame:
+    """qid, id, score by character n-grams over documents (id, text) sharing one with the query; query counts play no part.
+
+    A document that holds the whole query counts double. With ``k``, only what can be among the k best of a query goes
+    on to that test: scores of at least half the k-th, as the factor is 2 at most.
+    """
     qt = gram_counts(queries.select(F.col("qid").alias("id"), F.col("query").alias("text"))).select(F.col("id").alias("qid"), "term")
     qt = cut(qt)
     vocabulary = small(cut(qt.select("term").distinct()), 500_000)
@@ -83,36 +88,85 @@ def bm25(docs: DataFrame, queries: DataFrame, double_exact: bool = True) -> Data
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("avgdl") + EPS)) + EPS)
     s = j.select("id", "term", part.alias("part")).join(small(qt, 500_000), "term").groupBy("qid", "id").agg(F.sum("part").alias("score"))
     if double_exact:
+        if k is not None:
+            s = cut(s)
+            kth = top(s, k).where(F.col("rank") == k).select("qid", (F.col("score") / 2 - 1e-6).alias("_least"))
+            s = s.join(kth, "qid", "left").where(F.col("score") >= F.coalesce("_least", F.lit(0.0))).drop("_least")
         x = s.join(queries, "qid").join(docs.select("id", "text"), "id")
         s = x.select("qid", "id", (F.col("score") * F.when(F.contains(F.lower("text"), F.lower("query")), 2).otherwise(1)).alias("score"))
     return s
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, terms=T.words) -> DataFrame:
-    """qid, id, score: cosine of tf times ln((N + 1) / (df + 1)) + 1."""
+    """qid, id, score: cosine of tf times ln((N + 1) / (df + 1)) + 1.
+
+    Document frequencies are summed first; then each document's norm is summed with the weights of all its words, and
+    only words that a query has go on to the scores.
+    """
     p, length = postings(docs, terms("text"))
     p = cut(p)
     n = length.agg(F.count(F.lit(1)).alias("n"))
-    idf = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    d = p.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     q, _ = postings(queries.select(F.col("qid").alias("id"), F.col("query").alias("text")), terms("text"))
-    q = q.join(idf, "term").select(F.col("id").alias("qid"), "term", (F.col("tf") * F.col("idf")).alias("qw"))
-    qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    s = d.join(q, "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return s.join(norm, "id").join(qn, "qid").select("qid", "id", F.try_divide("dot", F.col("dn") * F.col("qn")).alias("score"))
+    q = cut(q.withColumnRenamed("id", "qid").withColumnRenamed("tf", "qtf"))
+    asked = q.select("term").distinct().withColumn("asked", F.lit(True))
+    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))  # one row
+    idf = cut(df.select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")).join(asked, "term", "left"))
+    d = p.join(small(idf, 500_000), "term").select("id", "term", "asked", (F.col("tf") * F.col("idf")).alias("w"))
+    # one grouping by document: its norm, and the weights of the words that count
+    hit = F.collect_list(F.when(F.col("asked"), F.struct("term", "w"))).alias("_t")
+    own = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"), hit).where("size(_t) > 0")
+    own = own.select("id", "dn", F.explode_outer("_t").alias("_t")).select("id", "dn", "_t.term", "_t.w")
+    qw = q.join(idf, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    qn = qw.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    asks = cut(qw.join(qn, "qid"))
+    s = own.join(small(asks, 500_000), "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.max("dn").alias("dn"), F.max("qn").alias("qn"))
+    return s.select("qid", "id", F.try_divide("dot", F.col("dn") * F.col("qn")).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, id, score, rank: exact cosine of a stated query set against all vectors (id, v); the set is broadcast if small."""
-    unit = lambda df, i: df.where(F.col("v").isNotNull()).select(i, "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("_n")).where("_n > 0")
-    d, q = unit(docs, "id"), unit(queries, "qid").withColumnsRenamed({"v": "qv", "_n": "_m"})
-    j = d.join(small(cut(q), 10_000), F.size("v") == F.size("qv"))
-    return top(j.select("qid", "id", (dot(F.col("v"), F.col("qv")) / (F.col("_n") * F.col("_m"))).alias("score")), k)
+def vector_top(docs: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """qid, id, score, rank: exact cosine of a stated query set against all vectors (id, v).
+
+    Queries are sent along in blocks of ``block``; each block is held against all vectors where they are read and only
+    the k best of a partition go on. Vectors of another length than the query's, null and zero ones take no part.
+    """
+    unit = lambda df, i: df.where(F.col("v").isNotNull() & (F.size("v") > 0)).select(F.col(i).cast("bigint").alias(i), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    d, q = spread(unit(docs, "id")), cut(unit(queries, "qid"))
+    parts = max(1, -(-q.count() // block))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(parts)))
+    out = None
+    for b in range(parts):
+        part = q.where(F.col("_b") == b).toPandas()  # about ``block`` vectors
+        shared = docs.sparkSession.sparkContext.broadcast((part["qid"].to_numpy(), [np.asarray(v, dtype=float) for v in part["v"]]))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, vs = shared.value
+            sizes = np.array([len(v) for v in vs])
+            for f in batches:
+                n = f["v"].str.len().to_numpy()
+                for size in np.unique(n):
+                    mine = np.flatnonzero(sizes == size)
+                    x = np.stack(f["v"][n == size].to_numpy())
+                    xi, xn = f["id"][n == size].to_numpy(), np.linalg.norm(x, axis=1)
+                    x, xi = x[xn > 0] / xn[xn > 0, None], xi[xn > 0]
+                    if not len(mine) or not len(x):
+                        continue
+                    m = np.stack([vs[i] for i in mine])
+                    mn = np.linalg.norm(m, axis=1)
+                    m, qi = m[mn > 0] / mn[mn > 0, None], ids[mine][mn > 0]
+                    s = np.round(m @ x.T, 9)
+                    for row, asked in zip(s, qi):
+                        best = np.lexsort((xi, -row))[:k]
+                        yield pd.DataFrame({"qid": asked, "id": xi[best], "score": row[best]})
+
+        found = d.select("id", "v").mapInPandas(run, "qid bigint, id bigint, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], "qid bigint, id bigint, score double")
+    return top(out, k)
 
 
 def minmax(scored: DataFrame, empty: float = 1.0) -> DataFrame:

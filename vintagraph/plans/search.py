@@ -61,7 +61,7 @@ tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rou
 
 
 def bm_top(s, d, k=20):
-    return R.top(R.bm25(docs(s, d), questions(s, d)), k)
+    return R.top(R.bm25(docs(s, d), questions(s, d), k=k), k)
 
 
 def tf_top(s, d, k=20):
