@@ -57,7 +57,16 @@ def pack(text: str, most: int = 600, carry: int = 100, least: int = 50) -> list[
         n += len(s)
     if cur:
         out.append(" ".join(cur))
-    return [c for c in out if len(c) >= least] or out[:1]
+    # a short chunk goes with the one before it, so that nothing of the text is lost
+    kept: list[str] = []
+    for c in out:
+        if kept and len(c) < least:
+            kept[-1] += " " + c
+        else:
+            kept.append(c)
+    if len(kept) > 1 and len(kept[0]) < least:
+        kept[:2] = [kept[0] + " " + kept[1]]
+    return kept
 
 
 def chunked(docs: DataFrame, how, name: str) -> DataFrame:
@@ -78,3 +87,65 @@ def legal(docs: DataFrame) -> DataFrame:
     head = F.nullif(F.regexp_extract("line", r"^\W*제 ?([0-9]+) ?조", 1), F.lit(""))
     a = l.withColumn("article", F.coalesce(F.last(head.cast("int"), True).over(w), F.lit(0)))
     return a.groupBy("id", "article").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+#: A number with what follows it, which no cut may part (fixed pattern of the windows below).
+_MEASURE = re.compile(r"[0-9]+(?:[.,][0-9]+)* ?[^\W\d_]{0,8}")
+
+
+def bounded(text: str, most: int = 384, least: int = 128, shared: float = 0.25) -> list[tuple[int, int]]:
+    """(start, end) of windows of ``least`` to ``most`` characters (50 more to reach a boundary) that share a quarter.
+
+    An end goes to the boundary nearest to .8 of the window, if one lies beyond ``least``; it then moves out of a
+    measurement that it would part. The next window starts ``shared`` of the window before the end, or ``least`` on.
+    """
+    out, start, n = [], 0, len(text)
+    while start < n:
+        end = min(n, start + most)
+        if end < n:
+            want = start + int(0.8 * most)
+            marks = [i + 1 for i in range(start + least, min(n, end + 50)) if text[i] in ".!?。\n" and (i + 1 == n or text[i + 1].isspace())]
+            if marks:
+                end = min(marks, key=lambda m: (abs(m - want), m))
+            for m in _MEASURE.finditer(text, max(start, end - 50), min(n, end + 50)):
+                if m.start() < end < m.end() and m.start() > start + least:
+                    end = m.start()
+        out.append((start, end))
+        if end >= n:
+            break
+        back = end - int(shared * most)
+        start = back if back > start else start + least
+    return out
+
+
+def sections(text: str, heads: str, most: int = 600) -> list[tuple[int, int]]:
+    """(start, end): cut where a line matches ``heads``, and sections longer than ``most`` into windows of sentences."""
+    at = [m.start() for m in re.finditer(heads, text, re.M)]
+    cuts = sorted({0, *at, len(text)})
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        while b - a > most:
+            stop = max((m.end() for m in SENTENCE.finditer(text, a, a + most)), default=a + most)
+            out.append((a, stop))
+            a = stop
+        if b > a:
+            out.append((a, b))
+    return out
+
+
+#: Headings of legal texts, outermost first (fixed patterns): chapter, section, article.
+LEGAL = r"^\W*(?:제 ?[0-9]+ ?[장절조]|(?:Chapter|Section|Article) [0-9]+)"
+
+
+def articles(text: str, most: int = 1000) -> list[tuple[int, int]]:
+    """Chapters, sections and articles of a legal text, long ones by sentences; a text without headings goes by paragraphs."""
+    return sections(text, LEGAL if re.search(LEGAL, text, re.M) else r"(?<=\n\n)^", most)
+
+
+def numeric(chunks: DataFrame, pattern: str, around: int = 100) -> DataFrame:
+    """id, chunk, text: for every chunk (id, chunk, text) with a number an extra one, made of the end of the chunk before,
+    the text, the beginning of the next, and the numbers twice."""
+    w = Window.partitionBy("id").orderBy("chunk")
+    numbers = F.array_join(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), " ")
+    c = chunks.withColumn("_a", F.lag("text").over(w)).withColumn("_b", F.lead("text").over(w)).withColumn("_n", numbers).where("_n <> ''")
+    return c.select("id", "chunk", F.concat_ws(" ", F.right("_a", F.lit(around)), "text", F.left("_b", F.lit(around)), "_n", "_n").alias("text"))

@@ -7,6 +7,10 @@ so that a series that holds a third of all rows is many tasks.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,10 +78,57 @@ def volatility(points: DataFrame, days: float, periods: int = 252) -> DataFrame:
     return r.where("_n >= 2").withColumn("volatility", F.col("_s") * F.sqrt(F.lit(float(periods)))).drop("_s", "_n", "ret")
 
 
-def percentile(points: DataFrame, days: float) -> DataFrame:
-    """Share of the window's values that are at most the current one."""
-    r = rolling(points, days, {"_l": lambda w: F.collect_list("value").over(w)})
-    return r.withColumn("pct", F.size(F.filter("_l", lambda x: x <= F.col("value"))) / F.size("_l")).drop("_l")
+def percentile(points: DataFrame, days: float, factor: int = 4) -> DataFrame:
+    """``points`` (series_id, t, value) with pct: the share of the window's values that are at most the current one.
+
+    A sorted window slides over each block, so a row costs a search and not a pass over its window.
+    """
+    width = int(days * DAY)
+    span = max(width, DAY) * factor
+    own = points.where("series_id is not null and t is not null and value is not null").withColumn("_b", F.floor(F.col("t") / span))
+    late = F.col("t") >= (F.col("_b") + 1) * span - width
+    both = own.withColumn("_to", F.explode(F.when(late, F.array(F.col("_b"), F.col("_b") + 1)).otherwise(F.array("_b"))))
+
+    names = [*points.columns, "pct"]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t", kind="stable")
+        t, v, mine = g["t"].to_numpy(), g["value"].to_numpy(), (g["_b"] == g["_to"]).to_numpy()
+        held, first, last, pct = [], 0, 0, np.empty(len(g))
+        for i in range(len(g)):
+            while last < len(g) and t[last] <= t[i]:
+                insort(held, v[last])
+                last += 1
+            while t[first] < t[i] - width:
+                del held[bisect_left(held, v[first])]
+                first += 1
+            pct[i] = bisect_right(held, v[i]) / len(held)
+        return g.assign(pct=pct)[mine][names]
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
+    return both.groupBy("series_id", "_to").applyInPandas(run, kinds + ", pct double")
+
+
+def compute(points: DataFrame, specs: DataFrame) -> DataFrame:
+    """feature_id, t, value of every feature of ``specs`` (feature_id, feature_type, input_series, window_days) over
+    ``points`` (series_id, t, value): raw, roc, zscore, percentile and spread; other types, and types with a window that name none, give no rows.
+
+    Features of one type and window are worked out together; the spec table is configuration.
+    """
+    sp = specs.where("feature_id is not null").select("feature_id", "feature_type", "window_days", F.try_element_at("input_series", F.lit(1)).alias("a"), F.try_element_at("input_series", F.lit(2)).alias("b")).distinct()
+    out = points.select(F.lit(None).cast("string").alias("feature_id"), "t", F.col("value").cast("double").alias("value")).where("false")
+    for kind, days in sorted((r[0], -1 if r[1] is None else r[1]) for r in sp.select("feature_type", "window_days").distinct().collect() if r[0] is not None):
+        days = None if days < 0 else days
+        mine = F.broadcast(sp.where((F.col("feature_type") == kind) & F.col("window_days").eqNullSafe(F.lit(days))))  # specs are configuration
+        if kind == "spread":
+            p = paired(points, mine.select(F.col("feature_id").alias("pair"), "a", "b"))
+            out = out.unionByName(spread(p).select(F.col("pair").alias("feature_id"), "t", F.col("spread").alias("value")))
+            continue
+        p = points.join(mine.select(F.col("a").alias("series_id"), "feature_id"), "series_id").select(F.col("feature_id").alias("series_id"), "t", "value")
+        made = {"raw": lambda: p, "roc": lambda: change(p, days).select("series_id", "t", F.col("roc").alias("value")), "zscore": lambda: zscore(p, days).select("series_id", "t", F.col("z").alias("value")), "percentile": lambda: percentile(p, days).select("series_id", "t", F.col("pct").alias("value"))}
+        if kind in made and (kind == "raw" or days is not None):
+            out = out.unionByName(made[kind]().withColumnRenamed("series_id", "feature_id"))
+    return out
 
 
 def paired(points: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from vintagraph.sources.tables import table
 
 
 def _feature_events(spark: SparkSession, d: str) -> DataFrame:
-    values = table(spark, d, "feature_values").where("feature_value_id is not null").dropDuplicates(["feature_value_id"]).select("feature_value_id", "feature_id", micros("timestamp").alias("t"), micros("as_of").alias("k"))
+    v = table(spark, d, "feature_values").where("feature_value_id is not null").select("feature_value_id", "feature_id", micros("timestamp").alias("t"), micros("as_of").alias("k"))
+    values = v.groupBy("feature_value_id").agg(F.max(F.struct("feature_id", "t", "k")).alias("_v")).select("feature_value_id", "_v.*")
     specs = table(spark, d, "feature_specs").select("feature_id", F.explode(F.array_distinct("input_series")).alias("series_id")).distinct()
     return values.join(specs, "feature_id").select("feature_value_id", "series_id", "t", "k")
 

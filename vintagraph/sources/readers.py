@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,69 @@ def meaning(column: str, kind: str) -> str:
         if part in column.lower():
             return m
     return {"string": "text", "double": "measure", "bigint": "number", "int": "number"}.get(kind, "other")
+
+
+def run_select(spark: SparkSession, statement: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The result of one SELECT over ``tables``, times as ISO text and intervals as text. Other statements are refused."""
+    if not re.match(r"\s*(?:select|with)\b", statement, re.I) or ";" in statement.rstrip().rstrip(";"):
+        raise ValueError("one SELECT is expected")
+    out = spark.sql(re.sub(r"\b(" + "|".join(map(re.escape, tables)) + r")\b(?=\s*(?:$|[,)\s]))", lambda m: "{" + m[1] + "}", statement) if tables else statement, **tables)
+    iso = {"timestamp": "yyyy-MM-dd'T'HH:mm:ss", "timestamp_ntz": "yyyy-MM-dd'T'HH:mm:ss", "date": "yyyy-MM-dd"}
+    as_text = lambda f: F.date_format(f.name, iso[f.dataType.typeName()]) if f.dataType.typeName() in iso else F.col(f.name).cast("string") if "interval" in f.dataType.typeName() else F.col(f.name)
+    return out.select(*[as_text(f).alias(f.name) for f in out.schema])
+
+
+def read_registry(path: str, required: list[str]) -> list[dict]:
+    """The entries of a JSON or YAML list of specifications; entries that lack a required field are dropped."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            data = yaml.safe_load(f)
+        else:
+            data = json.load(f)
+    rows = data if isinstance(data, list) else next((v for v in (data or {}).values() if isinstance(v, list)), [])
+    return [r for r in rows if isinstance(r, dict) and all(r.get(k) not in (None, "") for k in required)]
+
+
+class VersionedTable:
+    """A table as numbered folders of Parquet files; what is staged becomes the next version at ``commit``, or nothing does.
+
+    A version is complete or not there: it is written beside the others and then takes its name.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.staged = spark, path.rstrip("/"), None
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def version(self) -> int:
+        """The newest version, 0 if there is none."""
+        n = 0
+        while self._fs.exists(self._at(f"v{n + 1}")):
+            n += 1
+        return n
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v{version or self.version()}")
+
+    def stage(self, rows: DataFrame) -> None:
+        self.staged = rows
+
+    def commit(self) -> int:
+        """Write what is staged as the next version; without anything staged, or if another commit was first, it raises."""
+        if self.staged is None:
+            raise ValueError("nothing is staged")
+        n = self.version() + 1
+        new = f"_new_v{n}"
+        self.staged.write.mode("overwrite").parquet(f"{self.path}/{new}")
+        if self._fs.exists(self._at(f"v{n}")) or not self._fs.rename(self._at(new), self._at(f"v{n}")):
+            raise ValueError(f"version {n} was committed by another")
+        self.staged = None
+        return n
+
+    def rollback(self) -> None:
+        self.staged = None
