@@ -100,7 +100,8 @@ def sentiment(x) -> Column:
     """-1..1 from a number (clamped) or a word."""
     c = F.lower(F.trim(_c(x)))
     word = F.when(c == "very positive", 0.8).when(c == "positive", 0.5).when(c == "negative", -0.5).when(c == "very negative", -0.8).when(c == "neutral", 0.0)
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c.try_cast("double"))), word)
+    n = c.try_cast("double")
+    return F.when(n.isNotNull() & ~F.isnan(n), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), n))).otherwise(word)
 
 
 def content_hash(x) -> Column:
@@ -158,3 +159,20 @@ def calibrate(score: Column, temperature: float = 1.0, bias: float = 0.0) -> Col
 
 def band(conf: Column) -> Column:
     return F.when(conf >= 0.8, "high").when(conf >= 0.6, "medium").when(conf >= 0.4, "low").otherwise("very_low")
+
+
+def expand(x, additions: dict[str, list[str]]) -> Column:
+    """A text with the additions of every key word that it contains (case disregarded), in order of the key words."""
+    t = F.lower(F.coalesce(_c(x), F.lit("")))
+    parts = [F.when(F.contains(t, F.lit(k.lower())), F.lit(" ".join(v))) for k, v in additions.items()]
+    return F.when(_c(x).isNotNull(), F.concat_ws(" ", _c(x), *parts))
+
+
+def strengthened(conf: Column, support: Column) -> Column:
+    """Confidence + .02 a support, at most .99."""
+    return F.least(F.lit(0.99), conf + 0.02 * support)
+
+
+def weakened(conf: Column, against: Column) -> Column:
+    """Confidence x .9 for every contradiction, at least .05."""
+    return F.greatest(F.lit(0.05), conf * F.pow(F.lit(0.9), against))

@@ -132,3 +132,9 @@ def safe(col: str | Column) -> Column:
     """NaN as null."""
     c = F.col(col) if isinstance(col, str) else col
     return F.when(F.isnan(c), None).otherwise(c)
+
+
+def allowed(requested: str | Column, as_of: str | Column) -> Column:
+    """'ok', 'no_as_of' or 'look_ahead': what ``guard`` says of every read of a replay."""
+    r, a = (F.col(x) if isinstance(x, str) else x for x in (requested, as_of))
+    return F.when(a.isNull(), "no_as_of").when(r > a, "look_ahead").otherwise("ok")

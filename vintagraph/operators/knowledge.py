@@ -97,3 +97,30 @@ def grid_search(samples: DataFrame, thresholds: list[float], score: str, good: s
     t = F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("threshold")
     r = F.when(F.col(score) < F.col("threshold"), 0).when(F.col(good), 1).otherwise(-1)
     return samples.select(score, good, t).groupBy("threshold").agg(F.avg(r).alias("reward"))
+
+
+def rolling_policy(samples: DataFrame, step: str, score: str, good: str, start: float = 0.5, move: float = 0.05, lo: float = 0.2, hi: float = 0.9) -> DataFrame:
+    """step, threshold, n, reward, next: a replay in which every step takes the samples of at least the threshold, earns +1
+    for a good one and -1 for another, and lowers the threshold after a gain, raises it after a loss, within lo..hi.
+
+    Scores count in twentieths, so a step is one short histogram however many samples it has; steps are folded in order.
+    Null scores and steps are left out. Thresholds are whole multiples of ``move``.
+    """
+    cell = F.floor(F.col(score) / move + 1e-9).cast("int")
+    h = samples.where(F.col(score).isNotNull() & F.col(step).isNotNull()).groupBy(step, cell.alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("g"))
+    rows = h.groupBy(step).agg(F.collect_list(F.struct("_c", "n", "g")).alias("_h"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), "_h"))).alias("_s"))  # one entry a step
+    a, b = round(lo / move), round(hi / move)
+    empty = F.array().cast("array<struct<step:string,t:int,n:bigint,r:bigint,u:int>>")
+
+    def fold(acc: Column, x: Column) -> Column:
+        t = acc["t"]
+        taken = F.filter(x["_h"], lambda c: c["_c"] >= t)
+        n = F.aggregate(taken, F.lit(0).cast("bigint"), lambda s, c: s + c["n"])
+        r = F.aggregate(taken, F.lit(0).cast("bigint"), lambda s, c: s + 2 * c["g"] - c["n"])
+        u = F.when(r > 0, F.greatest(F.lit(a), t - 1)).when(r < 0, F.least(F.lit(b), t + 1)).otherwise(t)
+        row = F.struct(x["step"].cast("string").alias("step"), t.alias("t"), n.alias("n"), r.alias("r"), u.alias("u"))
+        return F.struct(u.alias("t"), F.concat(acc["o"], F.array(row)).alias("o"))
+
+    out = one.select(F.explode_outer(F.aggregate("_s", F.struct(F.lit(round(start / move)).alias("t"), empty.alias("o")), fold)["o"]).alias("x")).where("x is not null")
+    return out.select("x.step", (F.col("x.t") * move).alias("threshold"), "x.n", F.col("x.r").alias("reward"), (F.col("x.u") * move).alias("next"))

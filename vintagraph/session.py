@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dimension is broadcast (a row here is a few dozen bytes).
 BROADCAST_ROWS = 100_000
+#: Bytes up to which it is, whatever its rows.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -30,12 +34,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. The session's own setting wins; a temporary folder is set only where none is."""
+    """The shared checkpoint folder. The session's own setting wins.
+
+    Without one a local master gets a temporary folder, removed at exit; on a cluster, whose executors share no such
+    folder, it is an error.
+    """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vintagraph-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="vintagraph-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
     sc.setCheckpointDir(path)
@@ -51,12 +64,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and about ``size`` bytes, else unchanged.
 
-    Counts ``df``, so pass a cut or otherwise cheap frame.
+    Counts ``df``, so pass a cut or otherwise cheap frame. Texts, binaries and arrays count by their lengths.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    held = F.lit(16 * len(df.columns))
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            held = held + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind in ("array", "map"):
+            held = held + 24 * F.greatest(F.size(f"`{f.name}`"), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(held.cast("bigint"))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def micros(ts: str | Column) -> Column:
