@@ -77,6 +77,35 @@ def resolve(refs: DataFrame, entities: DataFrame) -> DataFrame:
     return j.select("ref", F.coalesce("by_id", "by_norm", "by_bare").alias("entity"), conf.alias("confidence"))
 
 
+def similar_names(refs: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
+    """ref, entity, similarity: of every reference the name with most in common, by the Jaccard of character 3-grams.
+
+    Both sides meet on shared grams, so only names with something in common are compared; a name's grams are counted,
+    not joined again. Ties to the smaller entity. ``refs``: ref; ``names``: entity, name. Texts under three characters
+    have themselves as gram.
+    """
+    grams = lambda c: F.array_distinct(F.when(F.length(c) > 3, F.regexp_extract_all(c, F.lit("(?=(.{3}))"), F.lit(1))).otherwise(F.array(c)))
+    side = lambda df, key, c: df.where(F.length(F.trim(c)) > 0).select(key, grams(F.lower(F.trim(c))).alias("_g")).distinct()
+    r, n = side(refs, "ref", F.col("ref")), side(names, "entity", F.col("name"))
+    e = lambda df, key, size: df.select(key, F.size("_g").alias(size), F.explode_outer("_g").alias("g"))
+    j = e(r, "ref", "_a").join(e(n, "entity", "_b"), "g").groupBy("ref", "entity", "_a", "_b").agg(F.count(F.lit(1)).alias("_k"))
+    s = j.select("ref", "entity", (F.col("_k") / (F.col("_a") + F.col("_b") - F.col("_k"))).alias("similarity")).where(F.col("similarity") >= least)
+    best = s.groupBy("ref").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "entity")).alias("b"))
+    return best.select("ref", F.col("b.entity").alias("entity"), (-F.col("b.s")).alias("similarity"))
+
+
+def metadata_filter(rows: DataFrame, title: str, time: str, text: str, title_has: list[str] | None = None, since: str | None = None, patterns: list[str] | None = None) -> DataFrame:
+    """Rows whose title contains one of the words, whose date (a null one passes) is not before ``since``, and whose text
+    has one of the patterns; parts not given make no check, null texts match nothing."""
+    r = rows
+    if title_has:
+        t = F.lower(F.coalesce(title, F.lit("")))
+        r = r.where(F.exists(F.array(*[F.lit(w.lower()) for w in title_has]), lambda w: F.contains(t, w)))
+    if since:
+        r = r.where(F.col(time).isNull() | (F.col(time) >= F.lit(since).cast("date")))
+    return r.where(F.lower(text).rlike("|".join(f"(?:{p})" for p in patterns))) if patterns else r
+
+
 def replay(rows: DataFrame, steps: DataFrame, key: str = "series_id", t: str = "timestamp", known: str = "as_of", value: str = "value") -> DataFrame:
     """step, key, value: what a replay would read as the last value at every step, all steps at once; NaN comes out as null.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vintagraph.functions import questions as Q
 from vintagraph.functions import text as T
+from vintagraph.operators import assess as A
 from vintagraph.operators import bitemporal as B
 from vintagraph.operators import knowledge as K
 from vintagraph.operators import metrics, scoring
@@ -199,3 +200,39 @@ def domain_scores(s, d):
     e = F.array_distinct(T.measurements("expected"))
     m = F.try_divide(F.size(F.array_intersect(e, T.measurements("generated"))), F.size(e))
     return r.select("qa_id", F.round(0.6 * F.coalesce("keyword_accuracy", F.lit(1.0)) + 0.4 * F.coalesce(m, F.lit(1.0)), 6).alias("score"))
+
+
+_G3 = "list_distinct(CASE WHEN length({0}) > 3 THEN [substr({0}, i, 3) FOR i IN range(1, length({0}) - 1)] ELSE [{0}] END)"
+
+
+@query("WITH r AS (SELECT DISTINCT head_id ref FROM relations WHERE length(trim(head_id)) > 0), n AS (SELECT DISTINCT id entity FROM entities WHERE length(trim(id)) > 0), a AS (SELECT ref, " + _G3.format("lower(trim(ref))") + " g FROM r), b AS (SELECT entity, " + _G3.format("lower(trim(entity))") + """ h FROM n),
+s AS (SELECT ref, entity, len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) x FROM a, b) SELECT DISTINCT ON (ref) ref, entity, round(x, 6) similarity FROM s WHERE x >= 0.6 ORDER BY ref, x DESC, entity""")
+def similar_entities(s, d):
+    """Of every head that relations name, the entity whose id looks most like it."""
+    r = table(s, d, "relations").select(F.col("head_id").alias("ref"))
+    n = table(s, d, "entities").select(F.col("id").alias("entity"), F.col("id").alias("name"))
+    return A.similar_names(r, n).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT doc_id FROM documents WHERE (contains(lower(source), 'manual') OR contains(lower(source), 'notes')) AND (timestamp IS NULL OR timestamp >= DATE '2021-01-01') AND regexp_matches(lower(text), '(?:제 ?[0-9]+ ?조)|(?:section [0-9]+)')")
+def metadata_filtered(s, d):
+    """Manuals and notes since 2021 that name an article or section."""
+    x = A.metadata_filter(table(s, d, "documents"), "source", "timestamp", "text", ["manual", "notes"], "2021-01-01", ["제 ?[0-9]+ ?조", "section [0-9]+"])
+    return x.select("doc_id")
+
+
+@query("SELECT user_id, count(*) n_messages, min(ts) AS \"first\", max(ts) AS \"last\", max_by(event_type, event_id) last_type FROM events WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
+def conversations(s, d):
+    """Conversations with how many messages they have, when, and the type of the last."""
+    g = table(s, d, "events").where("user_id is not null").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_messages"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max_by("event_type", "event_id").alias("last_type"))
+    return g.where("n_messages >= 2")
+
+
+@query("""WITH r AS (SELECT DISTINCT ON (relation_id) relation_id, head_id, tail_id, type, props.domain_conf c, props.evidence_count k FROM relations ORDER BY relation_id), u AS (SELECT relation_id, 'domain' "source", c * 0.8 x FROM r UNION ALL SELECT relation_id, 'personal', least(0.8, k / 1000.0) * 0.4 FROM r)
+SELECT relation_id, arg_max("source", struct_pack(x := x, s := "source")) "source", round(max(x), 6) confidence FROM u WHERE x IS NOT NULL GROUP BY 1""")
+def dataset_rows(s, d):
+    """One training row a relation: the source that is surest of it (ties to the later name), and its confidence."""
+    r = table(s, d, "relations").dropDuplicates(["relation_id"])
+    own = F.array(F.struct((F.col("props.domain_conf") * 0.8).alias("x"), F.lit("domain").alias("s")), F.struct((F.least(F.lit(0.8), F.col("props.evidence_count") / 1000.0) * 0.4).alias("x"), F.lit("personal").alias("s")))
+    best = F.array_max(F.filter(own, lambda v: v["x"].isNotNull()))
+    return r.select("relation_id", best.alias("b")).where("b is not null").select("relation_id", F.col("b.s").alias("source"), F.round("b.x", 6).alias("confidence"))

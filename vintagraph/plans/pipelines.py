@@ -62,7 +62,9 @@ def _stream(s, d):
     t = table(s, d, "events")
     path = f"{d}/events.parquet"
     # a stream reads a folder; a single file is given by its own name as a pattern
-    return s.readStream.schema(t.schema).parquet(path if os.path.isdir(path) else path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    return s.readStream.schema(t.schema).parquet(path if folder else path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT date_trunc('hour', ts)::VARCHAR AS \"start\", event_type, count(*) n, round(avg(value), 6) mean FROM events GROUP BY 1, 2")
@@ -108,3 +110,15 @@ def scenario_paths(s, d):
     pairs = nodes.join(nodes.withColumnRenamed("src", "dst")).where("src <> dst")
     p = G.simple_paths(f, pairs, 3, first=10)
     return p.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_paths"), F.round(F.sum("strength"), 6).alias("total"))
+
+
+@query("""WITH k AS (SELECT event_id, ts, row_number() OVER (ORDER BY event_id) r FROM events WHERE event_id IS NOT NULL) SELECT CASE WHEN r <= 500 THEN 1 WHEN r <= 1000 THEN 2 ELSE 3 END "fetch", count(*) n, min(event_id) AS "first", max(event_id) AS "last" FROM k GROUP BY 1""")
+def cursor_fetches(s, d):
+    """Three fetches from a source, each from the cursor that the one before left: 500, 500 and the rest."""
+    e, cursor, out = table(s, d, "events").select("event_id", "ts"), None, None
+    for n, limit in ((1, 500), (2, 500), (3, None)):
+        f = S.since(e, "event_id", cursor, limit).agg(F.lit(n).alias("fetch"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+        row = f.first()
+        cursor = row["last"] if row["n"] else cursor
+        out = f if out is None else out.unionByName(f)
+    return out.where("n > 0")

@@ -69,7 +69,27 @@ def ema_state(stream: DataFrame, key: str, t: str, value: str, alpha: float = 0.
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run what is there to the end and return it from memory (for tests and small reports)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run what is there to the end; every micro-batch is written beside the checkpoint, none passes through the driver.
+
+    In mode 'complete' the last batch is returned, otherwise the rows of all of them.
+    """
+    out = f"{checkpoint.rstrip('/')}-{name}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    write(stream.sparkSession.createDataFrame([], stream.schema), -1)  # a stream without data has no batch
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.parquet(out)
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == F.coalesce(F.lit(last), F.lit(-1)))
+    return rows.drop("batch")
+
+
+def since(rows: DataFrame, cursor: str, last, limit: int | None = None) -> DataFrame:
+    """The rows after a cursor, in its order; the first ``limit`` of them if given. Without a cursor (null) from the start."""
+    r = rows.where(F.col(cursor).isNotNull())
+    r = r if last is None else r.where(F.col(cursor) > F.lit(last))
+    return r if limit is None else r.orderBy(cursor).limit(limit)
