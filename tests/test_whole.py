@@ -112,3 +112,14 @@ def test_events_without_a_version_stay(spark):
 @pytest.mark.parametrize("name", ["asof_latest_newest", "last_value_newest", "feature_latest_values_newest", "snapshot_newest", "live_replay_newest", "affected_features_newest", "replay_all_steps"])
 def test_newest_query_equals_sql(spark, name):
     equals_sql(spark, name)
+
+
+def test_running_sum_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART", 50)
+    df = spark.range(1000).selectExpr("id", "id % 7 k", "case when id % 5 = 0 then null else id end n")
+    got = [(r.k, r.id, r.running) for r in blocks.running_sum(df, ["k", "id"], "n").orderBy("k", "id").collect()]
+    total, want = 0, []
+    for k, i in sorted((i % 7, i) for i in range(1000)):
+        total += 0 if i % 5 == 0 else i
+        want.append((k, i, total))
+    assert got == want and blocks.running_sum(df.limit(0), ["k", "id"], "n").count() == 0

@@ -40,6 +40,19 @@ def with_blocks(history: DataFrame, key: str, t: str, target: int, ties: tuple[s
     return cut(in_order(h, [key, t, *ties], count).withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits)))
 
 
+def running_sum(rows: DataFrame, by: list[str], amount: str) -> DataFrame:
+    """``rows`` with ``running``: the sum of ``amount`` over all rows up to each, in ascending order of ``by``.
+
+    Partitions of the order are summed on their own, and get the sum of those before them; no task sees all rows. End
+    ``by`` with what tells rows apart; null amounts count 0.
+    """
+    line = cut(in_order(rows, by).withColumn("_p", F.spark_partition_id()))
+    sums = line.groupBy("_p").agg(F.coalesce(F.sum(amount), F.lit(0)).alias("_t"))  # one row a partition
+    before = sums.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_before"))
+    own = F.coalesce(F.sum(amount).over(Window.partitionBy("_p").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return line.withColumn("running", own).join(F.broadcast(before), "_p").withColumn("running", F.col("running") + F.col("_before")).drop("_p", "_before")
+
+
 def with_context(blocked: DataFrame, key: str, t: str, before: int, after: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """Copy the edge rows of each block to its neighbours: ``to`` is the block that reads the row.
 

@@ -10,7 +10,7 @@ from vintagraph.plans import nlsql
 from vintagraph.plans.registry import Registry
 from vintagraph.plans.search import vec_top
 from vintagraph.session import micros
-from vintagraph.sources.tables import table
+from vintagraph.sources.tables import table, unique
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -94,7 +94,7 @@ _QA = "WITH q AS (SELECT DISTINCT ON (qa_id) * FROM qa_pairs ORDER BY qa_id)"
 
 
 def qa(s, d):
-    return table(s, d, "qa_pairs").dropDuplicates(["qa_id"])
+    return unique(s, d, "qa_pairs", "qa_id")
 
 
 @query(_QA + " SELECT metric, round(avg(v), 6) mean, min(v) lo, max(v) hi, count(v) n FROM (SELECT unnest(['confidence', 'processing_time']) metric, unnest([confidence, processing_time]) v FROM q) GROUP BY 1")
@@ -220,7 +220,7 @@ _RL = "WITH r AS (SELECT DISTINCT ON (relation_id) *, props.domain_conf c, props
 
 @query(_RL + " SELECT relation_id, round(c * 0.9 * (1 + least(0.2, 0.02 * k)) * CASE WHEN k > 500 THEN 1.2 ELSE 1 END * greatest(0.1, 0.5 * 0.8 + 0.5), 6) weight, round(CASE WHEN dd >= 30 THEN c * pow(0.98, dd // 30) ELSE c END, 6) decayed, CASE WHEN c < 0.1 THEN 'negligible' WHEN c < 0.25 THEN 'weak' WHEN c < 0.5 THEN 'moderate' WHEN c < 0.75 THEN 'strong' ELSE 'very_strong' END band FROM r")
 def edge_weights(s, d):
-    r = table(s, d, "relations").dropDuplicates(["relation_id"])
+    r = unique(s, d, "relations", "relation_id")
     c, k = F.col("props.domain_conf"), F.col("props.evidence_count")
     w = scoring.fused_weight(c, F.lit(0.1), F.lit(1.0), k, F.coalesce(k > 500, F.lit(False)), F.lit(0.8))
     days = F.datediff(F.lit("2026-06-01"), F.to_date("created_at"))
@@ -229,7 +229,7 @@ def edge_weights(s, d):
 
 @query(_RL + ", p AS (SELECT relation_id, (0.25 * c + 0.3 * 0.6 + 0.2 * 0.8 + 0.25 * least(0.8, k / 1000.0) + 1) / 2 s, 0.4 * c + 0.3 * 0.8 + 0.3 * 0.5 f FROM r) SELECT relation_id, round(s, 6) pcs, CASE WHEN s >= 0.7 THEN 'strong' WHEN s >= 0.4 THEN 'weak' ELSE 'rejected' END label, round(f, 6) score, CASE WHEN f >= 0.55 THEN 'domain' WHEN f >= 0.35 THEN 'personal' ELSE 'drop' END destination FROM p")
 def relation_scores(s, d):
-    r = table(s, d, "relations").dropDuplicates(["relation_id"])
+    r = unique(s, d, "relations", "relation_id")
     p, label = scoring.pcs(F.col("props.domain_conf"), F.lit(0.6), F.lit(0.8), F.least(F.lit(0.8), F.col("props.evidence_count") / 1000.0))
     f, to = scoring.confidence_route(F.col("props.domain_conf"), F.lit(0.8), F.lit(0.5), F.lit(False))
     return r.select("relation_id", F.round(p, 6).alias("pcs"), label.alias("label"), F.round(f, 6).alias("score"), to.alias("destination"))
@@ -237,7 +237,7 @@ def relation_scores(s, d):
 
 @query("""WITH r AS (SELECT DISTINCT ON (relation_id) * FROM relations ORDER BY relation_id) SELECT relation_id, array_to_string([x FOR x IN [CASE WHEN coalesce(trim(head_id) = '', true) THEN 'no_head' END, CASE WHEN coalesce(trim(tail_id) = '', true) THEN 'no_tail' END, CASE WHEN NOT coalesce(type IN ('affect', 'belongs_to'), false) THEN 'unknown_relation' END, CASE WHEN head_id = tail_id THEN 'self_loop' END] IF x IS NOT NULL], ',') errors FROM r""")
 def schema_validation(s, d):
-    r = table(s, d, "relations").dropDuplicates(["relation_id"]).select("relation_id", F.col("head_id").alias("src"), F.col("tail_id").alias("dst"), F.col("type").alias("rel"))
+    r = unique(s, d, "relations", "relation_id").select("relation_id", F.col("head_id").alias("src"), F.col("tail_id").alias("dst"), F.col("type").alias("rel"))
     return scoring.schema_errors(r, ["affect", "belongs_to"]).select("relation_id", F.array_join("errors", ",").alias("errors"))
 
 

@@ -18,7 +18,7 @@ from vintagraph.plans.graphs import _E, edges
 from vintagraph.plans.registry import Registry
 from vintagraph.session import checkpoint_dir, micros
 from vintagraph.sources import readers
-from vintagraph.sources.tables import table
+from vintagraph.sources.tables import table, unique
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -65,7 +65,7 @@ def topic_scorecards(s, d):
 @query("WITH r AS (SELECT DISTINCT ON (relation_id) relation_id, props.domain_conf c, props.evidence_count k FROM relations ORDER BY relation_id) SELECT relation_id, round(least(0.99, c + 0.02 * (k % 7)), 6) strengthened, round(greatest(0.05, c * pow(0.9, k % 5)), 6) weakened FROM r")
 def edge_moves(s, d):
     """Confidence of every relation after some support, and after some contradictions."""
-    r = table(s, d, "relations").dropDuplicates(["relation_id"])
+    r = unique(s, d, "relations", "relation_id")
     c, k = F.col("props.domain_conf"), F.col("props.evidence_count")
     return r.select("relation_id", F.round(T.strengthened(c, k % 7), 6).alias("strengthened"), F.round(T.weakened(c, k % 5), 6).alias("weakened"))
 
@@ -232,7 +232,7 @@ def conversations(s, d):
 SELECT relation_id, arg_max("source", struct_pack(x := x, s := "source")) "source", round(max(x), 6) confidence FROM u WHERE x IS NOT NULL GROUP BY 1""")
 def dataset_rows(s, d):
     """One training row a relation: the source that is surest of it (ties to the later name), and its confidence."""
-    r = table(s, d, "relations").dropDuplicates(["relation_id"])
+    r = unique(s, d, "relations", "relation_id")
     own = F.array(F.struct((F.col("props.domain_conf") * 0.8).alias("x"), F.lit("domain").alias("s")), F.struct((F.least(F.lit(0.8), F.col("props.evidence_count") / 1000.0) * 0.4).alias("x"), F.lit("personal").alias("s")))
     best = F.array_max(F.filter(own, lambda v: v["x"].isNotNull()))
     return r.select("relation_id", best.alias("b")).where("b is not null").select("relation_id", F.col("b.s").alias("source"), F.round("b.x", 6).alias("confidence"))

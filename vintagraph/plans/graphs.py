@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vintagraph.operators import graph as G
 from vintagraph.operators.references import key_of
 from vintagraph.plans.registry import Registry
-from vintagraph.sources.tables import table
+from vintagraph.sources.tables import table, unique
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -16,7 +16,7 @@ QUERIES, SQL = query.queries, query.sql
 
 def edges(s, d):
     """The relations as edges: distinct relation ids, ids normalised, sign from '+' and '-', weight the confidence."""
-    r = table(s, d, "relations").dropDuplicates(["relation_id"])
+    r = unique(s, d, "relations", "relation_id")
     sign = F.when(F.trim("props.sign") == "+", 1).when(F.trim("props.sign") == "-", -1).otherwise(0)
     e = r.select(key_of("head_id").alias("src"), key_of("tail_id").alias("dst"), F.col("type").alias("rel"), sign.alias("sign"), F.coalesce("props.domain_conf", F.lit(0.0)).alias("weight"))
     return e.where("src is not null and dst is not null")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from vintagraph.functions import text as T
 from vintagraph.operators import knowledge as K
+from vintagraph.operators.blocks import running_sum
 from vintagraph.plans.graphs import _E, edges
 from vintagraph.plans.registry import Registry
 from vintagraph.plans.search import _W, docs
-from vintagraph.sources.tables import table
+from vintagraph.sources.tables import table, unique
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -24,7 +25,7 @@ _R = "WITH r AS (SELECT DISTINCT ON (relation_id) * FROM relations ORDER BY rela
 
 
 def rel(s, d):
-    return table(s, d, "relations").dropDuplicates(["relation_id"])
+    return unique(s, d, "relations", "relation_id")
 
 
 @query(_R + """, v AS (SELECT relation_id, list_filter([CASE WHEN trim(props.sign) IN ('+', '-') THEN trim(props.sign) END, CASE WHEN type = 'affect' THEN '+' END, CASE WHEN props.domain_conf < 0.3 THEN '-' END], lambda x: x IS NOT NULL) a FROM r),
@@ -108,7 +109,7 @@ def pattern_consistency(s, d):
 
 @query("WITH q AS (SELECT DISTINCT ON (qa_id) * FROM qa_pairs ORDER BY qa_id), x AS (SELECT confidence c, coalesce(expected = generated, false) g FROM q WHERE confidence IS NOT NULL), t AS (SELECT unnest([0.2, 0.4, 0.6, 0.8]) threshold) SELECT threshold::DOUBLE threshold, round(avg(CASE WHEN c < threshold THEN 0 WHEN g THEN 1 ELSE -1 END), 6) reward FROM x, t GROUP BY 1")
 def policy_grid(s, d):
-    q = table(s, d, "qa_pairs").dropDuplicates(["qa_id"]).where("confidence is not null").select("confidence", F.coalesce(F.col("expected") == F.col("generated"), F.lit(False)).alias("g"))
+    q = unique(s, d, "qa_pairs", "qa_id").where("confidence is not null").select("confidence", F.coalesce(F.col("expected") == F.col("generated"), F.lit(False)).alias("g"))
     return K.grid_search(q, [0.2, 0.4, 0.6, 0.8], "confidence", "g").withColumn("reward", F.round("reward", 6))
 
 
@@ -137,12 +138,12 @@ def most_used_series(s, d):
     return table(s, d, "feature_specs").select(F.explode("input_series").alias("series_id")).groupBy("series_id").agg(_n().alias("n")).orderBy(F.col("n").desc(), "series_id").limit(5)
 
 
-@query("WITH n AS (SELECT doc_id, round(0.4 * len(regexp_extract_all(text, '[|~^`]')) / greatest(1, length(text) / 20.0), 6) x, length(text) l FROM documents WHERE text IS NOT NULL), o AS (SELECT *, sum(l) OVER (PARTITION BY doc_id % 16 ORDER BY x DESC, doc_id) u FROM n) SELECT doc_id, x noise FROM o WHERE x > 0.02 AND u <= 20000")
+@query("WITH n AS (SELECT doc_id, round(0.4 * len(regexp_extract_all(text, '[|~^`]')) / greatest(1, length(text) / 20.0), 6) x, length(text) l FROM documents WHERE text IS NOT NULL), o AS (SELECT *, sum(l) OVER (ORDER BY x DESC, doc_id) u FROM n WHERE x > 0.02) SELECT doc_id, x noise FROM o WHERE u <= 320000")
 def repair_budget(s, d):
-    """Noisiest documents first, per batch of 1/16 of the corpus, while they fit into the batch's budget."""
+    """Noisiest documents first, over the whole corpus, while they fit into one budget of characters."""
     n = docs(s, d).select(F.col("id").alias("doc_id"), F.round(0.4 * F.regexp_count("text", F.lit(r"[|~^`]")) / F.greatest(F.lit(1.0), F.length("text") / 20.0), 6).alias("noise"), F.length("text").alias("l"))
-    w = Window.partitionBy(F.col("doc_id") % 16).orderBy(F.col("noise").desc(), "doc_id")
-    return n.withColumn("u", F.sum("l").over(w)).where("noise > 0.02 and u <= 20000").select("doc_id", "noise")
+    r = running_sum(n.where("noise > 0.02").withColumn("_o", -F.col("noise")), ["_o", "doc_id"], "l")
+    return r.where("running <= 320000").select("doc_id", "noise")
 
 
 @query("WITH w AS (SELECT DISTINCT doc_id, unnest(" + _W.format("text") + ") p FROM documents WHERE text IS NOT NULL), q AS (SELECT DISTINCT unnest(" + _W.format("text") + ") p FROM eval_items) SELECT p phrase, count(*) n_docs, min(doc_id) first_doc FROM w JOIN q USING (p) WHERE length(p) > 3 GROUP BY 1")
@@ -184,14 +185,14 @@ def common_times(s, d):
 
 @query("WITH q AS (SELECT DISTINCT ON (qa_id) * FROM qa_pairs ORDER BY qa_id), w AS (SELECT qa_id, list_distinct(" + _W.format("coalesce(question, '')") + ") w, " + _W.format("coalesce(generated, '')") + " g FROM q) SELECT qa_id, round(CASE WHEN len(w) > 0 THEN len(list_intersect(w, g)) / len(w) ELSE 0 END, 6) alignment, CASE WHEN len(w) > 0 AND len(list_intersect(w, g)) / len(w) >= 0.3 THEN 'aligned' ELSE 'off' END state FROM w")
 def answer_alignment(s, d):
-    q = table(s, d, "qa_pairs").dropDuplicates(["qa_id"])
+    q = unique(s, d, "qa_pairs", "qa_id")
     o = T.overlap(F.array_distinct(T.words("question")), T.words("generated"))
     return q.select("qa_id", F.round(o, 6).alias("alignment"), F.when(o >= 0.3, "aligned").otherwise("off").alias("state"))
 
 
 @query("WITH q AS (SELECT DISTINCT ON (qa_id) * FROM qa_pairs ORDER BY qa_id) SELECT qa_id, CASE WHEN contains(lower(question), 'inflow') THEN question || ' flow' WHEN contains(question, '탁도') THEN question || ' 혼탁도' ELSE question END expanded FROM q")
 def query_expansion(s, d):
-    q = table(s, d, "qa_pairs").dropDuplicates(["qa_id"])
+    q = unique(s, d, "qa_pairs", "qa_id")
     x = F.when(F.contains(F.lower("question"), F.lit("inflow")), F.concat("question", F.lit(" flow"))).when(F.contains("question", F.lit("탁도")), F.concat("question", F.lit(" 혼탁도"))).otherwise(F.col("question"))
     return q.select("qa_id", x.alias("expanded"))
 

@@ -8,7 +8,7 @@ from vintagraph.functions import text as T
 from vintagraph.operators import retrieval as R
 from vintagraph.plans.registry import Registry
 from vintagraph.session import cut
-from vintagraph.sources.tables import table
+from vintagraph.sources.tables import table, unique
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -219,7 +219,7 @@ def noise_score(s, d):
 
 @query(r"""WITH x AS (SELECT qa_id, lower(question) q FROM (SELECT DISTINCT ON (qa_id) * FROM qa_pairs ORDER BY qa_id)) SELECT qa_id, CASE WHEN regexp_matches(q, '[0-9]|얼마|몇|how many|how much|what is the limit') THEN 'numeric' WHEN regexp_matches(q, '어떻게|해야|should|how often|how did') THEN 'procedure' WHEN regexp_matches(q, '무엇|란 |정의|what does|mean') THEN 'definition' WHEN regexp_matches(q, '기한|언제|deadline|when') THEN 'deadline' ELSE 'general' END kind FROM x""")
 def question_types(s, d):
-    return table(s, d, "qa_pairs").dropDuplicates(["qa_id"]).select("qa_id", T.question_type("question").alias("kind"))
+    return unique(s, d, "qa_pairs", "qa_id").select("qa_id", T.question_type("question").alias("kind"))
 
 
 @query(r"""WITH x AS (SELECT doc_id, lower(text) t FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, regexp_matches(t, '상승|증가|올랐|rose|grew') p, regexp_matches(t, '하락|감소|줄|fell|lower') n FROM x) SELECT doc_id, CASE WHEN p AND n THEN 'mixed' WHEN p THEN '+' WHEN n THEN '-' END polarity FROM y""")
