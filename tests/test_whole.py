@@ -116,10 +116,14 @@ def test_newest_query_equals_sql(spark, name):
 
 def test_running_sum_over_partitions(spark, monkeypatch):
     monkeypatch.setattr(blocks, "PART", 50)
-    df = spark.range(1000).selectExpr("id", "id % 7 k", "case when id % 5 = 0 then null else id end n")
-    got = [(r.k, r.id, r.running) for r in blocks.running_sum(df, ["k", "id"], "n").orderBy("k", "id").collect()]
-    total, want = 0, []
-    for k, i in sorted((i % 7, i) for i in range(1000)):
-        total += 0 if i % 5 == 0 else i
-        want.append((k, i, total))
-    assert got == want and blocks.running_sum(df.limit(0), ["k", "id"], "n").count() == 0
+    df = spark.range(1000).selectExpr("id", "if(id % 4 = 0, id % 7, 0) k", "case when id % 5 = 0 then null else id - 400 end n", "1 one")
+    rows = sorted((r.k, r.id, r.n or 0) for r in df.collect())
+    for key in (None, "k"):
+        got = [(r.k, r.id, r.s, r.c) for r in blocks.running_sum(df, ["id"] if key else ["k", "id"], {"s": "n", "c": "one"}, key).orderBy("k", "id").collect()]
+        total, n, want, last = 0, 0, [], None
+        for k, i, x in rows:
+            total, n = (x, 1) if key and k != last else (total + x, n + 1)
+            last = k
+            want.append((k, i, total, n))
+        assert got == want
+    assert blocks.running_sum(df.limit(0), ["id"], {"s": "n"}, "k").count() == 0

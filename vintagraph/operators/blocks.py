@@ -40,17 +40,24 @@ def with_blocks(history: DataFrame, key: str, t: str, target: int, ties: tuple[s
     return cut(in_order(h, [key, t, *ties], count).withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits)))
 
 
-def running_sum(rows: DataFrame, by: list[str], amount: str) -> DataFrame:
-    """``rows`` with ``running``: the sum of ``amount`` over all rows up to each, in ascending order of ``by``.
+def running_sum(rows: DataFrame, by: list[str], sums: dict[str, str], key: str | None = None, count: int | None = None) -> DataFrame:
+    """``rows`` with each of ``sums`` (name -> column): the sum over all rows up to each, of its ``key`` if given, in
+    ascending order of ``by``; the result is cut.
 
-    Partitions of the order are summed on their own, and get the sum of those before them; no task sees all rows. End
-    ``by`` with what tells rows apart; null amounts count 0.
+    Partitions of the order are summed on their own, and get the sums of those before them; no task sees all rows, nor
+    all of a key. End ``by`` with what tells rows apart; null amounts count 0. ``count``: about how many rows there are.
     """
-    line = cut(in_order(rows, by).withColumn("_p", F.spark_partition_id()))
-    sums = line.groupBy("_p").agg(F.coalesce(F.sum(amount), F.lit(0)).alias("_t"))  # one row a partition
-    before = sums.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_before"))
-    own = F.coalesce(F.sum(amount).over(Window.partitionBy("_p").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return line.withColumn("running", own).join(F.broadcast(before), "_p").withColumn("running", F.col("running") + F.col("_before")).drop("_p", "_before")
+    own = [key] if key else []
+    line = cut(in_order(rows, [*own, *by], count).withColumn("_p", F.spark_partition_id()))
+    total = {n: F.coalesce(F.sum(c), F.lit(0)) for n, c in sums.items()}
+    parts = line.groupBy("_p", *own).agg(*[x.alias(f"_t_{n}") for n, x in total.items()])  # one row a partition, and key in it
+    earlier = Window.partitionBy(*own).orderBy("_p")
+    before = parts.select("_p", *own, *[(F.sum(f"_t_{n}").over(earlier) - F.col(f"_t_{n}")).alias(f"_b_{n}") for n in sums])
+    if own:  # keys within one partition have nothing before them
+        before = before.where(" or ".join(f"_b_{n} <> 0" for n in sums))
+    w = Window.partitionBy("_p", *own).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    inner = line.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}).join(small(cut(before)), ["_p", *own], "left")
+    return inner.withColumns({n: F.col(n) + F.coalesce(f"_b_{n}", F.lit(0)) for n in sums}).drop("_p", *[f"_b_{n}" for n in sums])
 
 
 def with_context(blocked: DataFrame, key: str, t: str, before: int, after: int, ties: tuple[str, ...] = ()) -> DataFrame:

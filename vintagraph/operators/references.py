@@ -2,18 +2,18 @@
 
 Distinct foreign keys are anti-joined against the distinct parent keys; what is left over is 'missing'. For keys
 that have a parent at all, liveness at the time of the reference is decided by running counts of the parent's
-births and deaths, in day cells per key, so that neither a hot foreign key nor a parent with very many lifetimes
-ends up in one task.
+births and deaths over ordered partitions (``blocks.running_sum``), so that neither a hot foreign key, a bulk load in
+one day nor a parent with very many lifetimes ends up in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vintagraph.operators.blocks import running_sum
 from vintagraph.session import cut, micros
 
-DAY = 86_400_000_000
 #: Blanks that surround ids: everything Java's Unicode-aware \s covers, and zero-width marks.
 _EDGE = r"(?U)^[\s​﻿]+|[\s​﻿]+$"
 
@@ -57,15 +57,10 @@ def orphans(refs: DataFrame, parents: DataFrame, parent_id: str, born: str, died
     )).alias("_m")).where("_m is not null").select("key", "_m.*").groupBy("key", "at").agg(F.sum("live").alias("live"), F.sum("dead").alias("dead"))
     marks = marks.join(there.select("key").distinct(), "key", "left_semi")
     times = there.groupBy("key", "at").agg(F.lit(0).cast("bigint").alias("live"), F.lit(0).cast("bigint").alias("dead"))
-    both = marks.unionByName(times).groupBy("key", "at").agg(F.sum("live").alias("live"), F.sum("dead").alias("dead")).withColumn("day", F.floor(F.col("at") / DAY))
-    # days of a key are bounded by the time covered, rows of a key and day by what happened that day
-    days = both.groupBy("key", "day").agg(F.sum("live").alias("live"), F.sum("dead").alias("dead"))
-    past = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("key", "day", F.coalesce(F.sum("live").over(past), F.lit(0)).alias("_l"), F.coalesce(F.sum("dead").over(past), F.lit(0)).alias("_d"))
-    w = Window.partitionBy("key", "day").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    state = both.withColumn("live", F.sum("live").over(w)).withColumn("dead", F.sum("dead").over(w)).join(days, ["key", "day"])
-    state = state.select("key", "at", (F.col("live") + F.col("_l")).alias("_live"), (F.col("dead") + F.col("_d")).alias("_dead")).where("_live <= 0")
-    gone = there.join(state, ["key", "at"]).withColumn("reason", F.when(F.col("_dead") > 0, "deleted").otherwise("late")).drop("_live", "_dead")
+    both = marks.unionByName(times).groupBy("key", "at").agg(F.sum("live").alias("live"), F.sum("dead").alias("dead"))
+    state = running_sum(both, ["at"], {"_live": "live", "_dead": "dead"}, "key", tagged.count())
+    state = state.where("_live <= 0").select("key", "at", "_dead")
+    gone = there.join(state, ["key", "at"]).withColumn("reason", F.when(F.col("_dead") > 0, "deleted").otherwise("late")).drop("_dead")
     cols = ["table", "row_id", "endpoint", "key", "at", "reason"]
     return missing.select(*cols).unionByName(gone.select(*cols))
 

@@ -142,7 +142,7 @@ def most_used_series(s, d):
 def repair_budget(s, d):
     """Noisiest documents first, over the whole corpus, while they fit into one budget of characters."""
     n = docs(s, d).select(F.col("id").alias("doc_id"), F.round(0.4 * F.regexp_count("text", F.lit(r"[|~^`]")) / F.greatest(F.lit(1.0), F.length("text") / 20.0), 6).alias("noise"), F.length("text").alias("l"))
-    r = running_sum(n.where("noise > 0.02").withColumn("_o", -F.col("noise")), ["_o", "doc_id"], "l")
+    r = running_sum(n.where("noise > 0.02").withColumn("_o", -F.col("noise")), ["_o", "doc_id"], {"running": "l"})
     return r.where("running <= 320000").select("doc_id", "noise")
 
 
