@@ -152,6 +152,18 @@ def test_chunkers(spark):
     assert {(r.article, r.n_lines) for r in chunking.legal(l).collect()} == {(0, 1), (1, 2), (2, 1)}
 
 
+def test_legal_numbers_of_any_length(spark):
+    far = "9" * 40
+    t = f"머리\n\n제1조 가\n제99999999999조 나\n다\n\n제{far}조 라\n제{far}9조 마\n 제{'0' * 30}1조 바\n제2147483647조 사\n제0조 아\n"
+    l = spark.createDataFrame([(1, t), (2, ""), (3, "\n" * 5), (4, None)], "id bigint, text string")
+    rows = chunking.legal(l).collect()
+    assert sorted((r.id, r.article or 0, r.n_lines, r.text) for r in rows) == [
+        (1, 0, 1, f"제{far}9조 마"), (1, 0, 1, f"제{far}조 라"), (1, 0, 4, "머리\n\n제0조 아\n"), (1, 1, 2, f"제1조 가\n 제{'0' * 30}1조 바"),
+        (1, 2147483647, 1, "제2147483647조 사"), (1, 99999999999, 3, "제99999999999조 나\n다\n"), (2, 0, 1, ""), (3, 0, 6, "\n" * 5),
+    ]
+    assert sorted(r.text for r in rows if r.article is None) == [f"제{far}9조 마", f"제{far}조 라"]
+
+
 def test_questions():
     day = dt.date(2024, 3, 31)
     assert nlsql.date_range("last month", day) == (dt.date(2024, 2, 1), dt.date(2024, 3, 1))

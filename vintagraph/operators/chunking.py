@@ -80,13 +80,20 @@ def chunked(docs: DataFrame, how, name: str) -> DataFrame:
     return docs.select("id", F.posexplode(run("text")).alias("chunk", "text")).withColumn("kind", F.lit(name))
 
 
+#: An article's heading at the start of a line.
+_ARTICLE = r"[^\w\n]*제 ?([0-9]+) ?조"
+
+
 def legal(docs: DataFrame) -> DataFrame:
-    """id, article, n_lines, text: lines grouped under the article heading above them; lines before any are article 0."""
-    l = docs.where("text is not null").select("id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    w = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.nullif(F.regexp_extract("line", r"^\W*제 ?([0-9]+) ?조", 1), F.lit(""))
-    a = l.withColumn("article", F.coalesce(F.last(head.cast("int"), True).over(w), F.lit(0)))
-    return a.groupBy("id", "article").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """id, article, n_lines, text: lines grouped under the article heading above them; lines before any are article 0.
+
+    Texts are cut before headings only, however many lines they have. A number beyond bigint is null, its article still its own.
+    """
+    s = docs.where("text is not null").select("id", F.posexplode(F.split("text", f"\n(?={_ARTICLE})")).alias("n", "part"))
+    digits = F.ltrim(F.regexp_extract("part", f"^{_ARTICLE}", 1), F.lit("0"))
+    lines = F.length("part") - F.length(F.replace("part", F.lit("\n"), F.lit(""))) + 1
+    g = s.groupBy("id", digits.alias("_digits")).agg(F.sum(lines).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    return g.select("id", F.when(F.col("_digits") == "", F.lit(0)).otherwise(F.col("_digits").try_cast("bigint")).alias("article"), "n_lines", "text")
 
 
 #: A number with what follows it, which no cut may part (fixed pattern of the windows below).
